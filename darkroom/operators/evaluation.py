@@ -170,7 +170,8 @@ def planner_summary(results: DataFrame) -> DataFrame:
     long = one.select(F.inline(rows))
     routes = (
         measured.groupBy(F.col("route").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("c"))
-        .join(one.select(F.col("n").alias("__n")), F.lit(True))
+        .withColumn("__one", F.lit(1))
+        .join(one.select(F.col("n").alias("__n"), F.lit(1).alias("__one")), "__one")
         .select(F.lit("coverage").alias("section"), "name", (F.col("c") / F.col("__n")).alias("value"))
     )
     splits = measured.groupBy(F.col("split").alias("name")).agg(share(correct).alias("value")).select(
@@ -197,9 +198,14 @@ def baseline_diff(baseline: DataFrame, current: DataFrame) -> DataFrame:
     change = (now("cost") - was("cost")) / was("cost")
     moved = policy.signature_distance(was("signature"), now("signature"))
     shown = lambda c: F.coalesce(c, F.lit("None"))
+    # format_number rounds the stored binary value half-even; format_string rounds half-up.
+    fixed_point = lambda c, pattern: F.call_function("format_number", c, F.lit(pattern))
     signed = F.concat(
         F.when(change >= 0, F.lit("+")).otherwise(F.lit("-")),
-        F.bround(F.abs(change) * 100, 0).cast("bigint").cast("string"), F.lit("%"),
+        fixed_point(F.abs(change) * 100, "0"), F.lit("%"),
+    )
+    arrow = lambda a, b, pattern: F.concat(
+        fixed_point(a, pattern), F.lit(" -> "), fixed_point(b, pattern)
     )
     no, yes = F.lit(False), F.lit(True)
     found = [
@@ -209,12 +215,12 @@ def baseline_diff(baseline: DataFrame, current: DataFrame) -> DataFrame:
          F.concat(shown(was("status")), F.lit(" -> "), shown(now("status"))),
          was("status").eqNullSafe("ok")),
         ("cost", paired & (was("cost") > 0) & (now("cost") != 0) & (F.abs(change) > fixed.COST_TOLERANCE),
-         F.concat(F.format_string("%.1f -> %.1f (", was("cost"), now("cost")), signed, F.lit(")")), no),
+         F.concat(arrow(was("cost"), now("cost"), "0.0"), F.lit(" ("), signed, F.lit(")")), no),
         ("grounding", paired & (was("bbox_iou") - now("bbox_iou") > fixed.IOU_TOLERANCE),
-         F.format_string("IoU %.3f -> %.3f", was("bbox_iou"), now("bbox_iou")), yes),
+         F.concat(F.lit("IoU "), arrow(was("bbox_iou"), now("bbox_iou"), "0.000")), yes),
         ("image", paired & (was("signature") != "") & (now("signature") != "")
          & (moved > fixed.SIGNATURE_TOLERANCE),
-         F.format_string("the result changed (distance %.3f)", moved), no),
+         F.concat(F.lit("the result changed (distance "), fixed_point(moved, "0.000"), F.lit(")")), no),
         ("route", paired & ~was("passes").eqNullSafe(now("passes")),
          F.concat(shown(was("passes")), F.lit(" -> "), shown(now("passes"))), no),
     ]

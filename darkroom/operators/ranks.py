@@ -37,13 +37,13 @@ def ordinal_rank(df: DataFrame, order: Sequence[Column | str], name: str) -> Dat
     )
 
 
-def spearman(df: DataFrame, x: str, y: str, tie: str, name: str = "rho") -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, tie: Sequence[str], name: str = "rho") -> DataFrame:
     """Rank correlation with ordinal ranks: ties keep ``tie`` order and are not averaged.
 
     Both rankings are permutations of 0..n-1, so rho follows from the squared rank gaps.
     Under three rows the answer is 0.0.
     """
-    pairs = df.select(F.col(x).alias("__x"), F.col(y).alias("__y"), F.col(tie).alias("__tie"))
+    pairs = df.select(F.col(x).alias("__x"), F.col(y).alias("__y"), F.struct(*tie).alias("__tie"))
     pairs = ordinal_rank(pairs, ["__x", "__tie"], "__rx")
     pairs = ordinal_rank(pairs, ["__y", "__tie"], "__ry")
     gap = (F.col("__rx") - F.col("__ry")).cast("double")
@@ -82,10 +82,11 @@ def exact_percentile(
         F.count(F.lit(1)).alias("__n"),
     )
     counts = x.groupBy(*group, "__x").agg(F.count(F.lit(1)).alias("__c"))
+    small = F.col("__n") <= accuracy  # the bracket is counted in ranks, so few rows need none
     inside = (
         counts.join(sketch, group)
-        .where(F.col("__x") <= F.col("__ends")[1])
-        .withColumn("__y", F.when(F.col("__x") >= F.col("__ends")[0], F.col("__x")))
+        .where(small | (F.col("__x") <= F.col("__ends")[1]))
+        .withColumn("__y", F.when(small | (F.col("__x") >= F.col("__ends")[0]), F.col("__x")))
         .groupBy(*group, "__y", "__n")
         .agg(F.sum("__c").alias("__c"))
     )
