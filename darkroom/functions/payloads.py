@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,29 +21,51 @@ def _quoted(c: Column) -> Column:
     return F.to_json(c.cast("variant"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` bound to a name, so that it is written and computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def redact(json: Column, depth: int = 3) -> Column:
     """JSON text with the values of suspicious names hidden, at every level.
 
     Items of a list are judged by the list's name, objects by their own names. Containers
     nested more than ``depth`` levels down are hidden whole rather than passed unseen.
     """
+    return _once(F.trim(json), lambda raw: _redacted(raw, depth))
+
+
+def _redacted(raw: Column, depth: int) -> Column:
     hidden = f'"{fixed.REDACTED}"'
-    raw = F.trim(json)
     opens = F.substring(raw, 1, 1)
     if depth == 0:
         return F.when(opens.isin("{", "["), F.lit(hidden)).otherwise(raw)
 
-    def entry(e: Column) -> Column:
-        value = F.coalesce(F.to_json(e["value"]), F.lit("null"))
-        shown = F.when(suspicious(e["key"]), F.lit(hidden)).otherwise(redact(value, depth - 1))
+    # Variants tell a number from a string; the text form keeps nested objects as written.
+    def kept(value: Column, as_written: Column) -> Column:
+        return _once(
+            F.coalesce(F.to_json(value), F.lit("null")),
+            lambda text: F.when(F.substring(text, 1, 1).isin("{", "["), as_written).otherwise(text),
+        )
+
+    def entry(e: Column, written: Column) -> Column:
+        deeper = kept(e["value"], F.try_element_at(written, e["key"]))
+        shown = F.when(suspicious(e["key"]), F.lit(hidden)).otherwise(redact(deeper, depth - 1))
         return F.concat(_quoted(e["key"]), F.lit(":"), shown)
 
-    def item(v: Column) -> Column:
-        return redact(F.coalesce(F.to_json(v), F.lit("null")), depth - 1)
+    def item(pair: Column) -> Column:
+        return redact(kept(pair["v"], pair["w"]), depth - 1)
 
     fields = F.map_entries(F.from_json(raw, "map<string,variant>"))
-    items = F.from_json(raw, "array<variant>")
-    as_object = F.concat(F.lit("{"), F.array_join(F.transform(fields, entry), ","), F.lit("}"))
+    shown_fields = _once(
+        F.from_json(raw, "map<string,string>"),
+        lambda written: F.transform(fields, lambda e: entry(e, written)),
+    )
+    items = F.zip_with(
+        F.from_json(raw, "array<variant>"), F.from_json(raw, "array<string>"),
+        lambda v, w: F.struct(v.alias("v"), w.alias("w")),
+    )
+    as_object = F.concat(F.lit("{"), F.array_join(shown_fields, ","), F.lit("}"))
     as_list = F.concat(F.lit("["), F.array_join(F.transform(items, item), ","), F.lit("]"))
     return F.when(opens == "{", as_object).when(opens == "[", as_list).otherwise(raw)
 
