@@ -42,32 +42,34 @@ def _redacted(raw: Column, depth: int) -> Column:
         return F.when(opens.isin("{", "["), F.lit(hidden)).otherwise(raw)
 
     # Variants tell a number from a string; the text form keeps nested objects as written.
-    def kept(value: Column, as_written: Column) -> Column:
-        return _once(
-            F.coalesce(F.to_json(value), F.lit("null")),
-            lambda text: F.when(F.substring(text, 1, 1).isin("{", "["), as_written).otherwise(text),
-        )
-
-    def entry(e: Column, written: Column) -> Column:
-        deeper = kept(e["value"], F.try_element_at(written, e["key"]))
-        shown = F.when(suspicious(e["key"]), F.lit(hidden)).otherwise(redact(deeper, depth - 1))
-        return F.concat(_quoted(e["key"]), F.lit(":"), shown)
-
-    def item(pair: Column) -> Column:
-        return redact(kept(pair["v"], pair["w"]), depth - 1)
+    def member(name: Column, value: Column, written: Column) -> Column:
+        return F.struct(name.alias("k"), value.alias("v"), written.alias("w"))
 
-    fields = F.map_entries(F.from_json(raw, "map<string,variant>"))
-    shown_fields = _once(
+    fields = _once(
         F.from_json(raw, "map<string,string>"),
-        lambda written: F.transform(fields, lambda e: entry(e, written)),
+        lambda written: F.transform(
+            F.map_entries(F.from_json(raw, "map<string,variant>")),
+            lambda e: member(e["key"], e["value"], F.try_element_at(written, e["key"])),
+        ),
     )
     items = F.zip_with(
         F.from_json(raw, "array<variant>"), F.from_json(raw, "array<string>"),
-        lambda v, w: F.struct(v.alias("v"), w.alias("w")),
+        lambda v, w: member(F.lit(None).cast("string"), v, w),
     )
-    as_object = F.concat(F.lit("{"), F.array_join(shown_fields, ","), F.lit("}"))
-    as_list = F.concat(F.lit("["), F.array_join(F.transform(items, item), ","), F.lit("]"))
-    return F.when(opens == "{", as_object).when(opens == "[", as_list).otherwise(raw)
+
+    def shown(m: Column) -> Column:
+        plain = F.coalesce(F.to_json(m["v"]), F.lit("null"))
+        text = _once(
+            plain, lambda p: F.when(F.substring(p, 1, 1).isin("{", "["), m["w"]).otherwise(p)
+        )
+        label = F.coalesce(F.concat(_quoted(m["k"]), F.lit(":")), F.lit(""))
+        value = F.when(suspicious(m["k"]), F.lit(hidden)).otherwise(redact(text, depth - 1))
+        return F.concat(label, value)
+
+    members = F.when(opens == "{", fields).when(opens == "[", items)
+    body = F.array_join(F.transform(members, shown), ",")
+    closes = F.when(opens == "{", F.lit("}")).otherwise(F.lit("]"))
+    return F.when(opens.isin("{", "["), F.concat(opens, body, closes)).otherwise(raw)
 
 
 def merge_context(outer: Column, inner: Column, extras: Column) -> Column:

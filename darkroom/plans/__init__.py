@@ -3,7 +3,7 @@
 from importlib import import_module
 
 FAMILIES = (
-    "assets", "jobs", "specs", "evaluation", "ranking", "tuning", "masks", "text", "streams",
+    "assets", "jobs", "specs", "evaluation", "ranking", "tuning", "masks", "text", "streams", "learning", "io",
 
 )
 
