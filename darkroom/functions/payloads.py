@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,55 +19,37 @@ def _quoted(c: Column) -> Column:
     return F.to_json(c.cast("variant"))
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` bound to a name, so that it is written and computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def redact(json: Column, depth: int = 3) -> Column:
     """JSON text with the values of suspicious names hidden, at every level.
 
     Items of a list are judged by the list's name, objects by their own names. Containers
-    nested more than ``depth`` levels down are hidden whole rather than passed unseen.
+    nested more than ``depth`` levels down are hidden whole rather than passed unseen. The text
+    is parsed once; an object's names come out in alphabetical order.
     """
-    return _once(F.trim(json), lambda raw: _redacted(raw, depth))
+    return _redacted(F.parse_json(json), depth)
 
 
-def _redacted(raw: Column, depth: int) -> Column:
-    hidden = f'"{fixed.REDACTED}"'
-    opens = F.substring(raw, 1, 1)
+def _redacted(value: Column, depth: int) -> Column:
+    hidden = F.lit(f'"{fixed.REDACTED}"')
+    fields = F.try_variant_get(value, "$", "map<string,variant>")
+    items = F.try_variant_get(value, "$", "array<variant>")
+    plain = F.coalesce(F.to_json(value), F.lit("null"))
     if depth == 0:
-        return F.when(opens.isin("{", "["), F.lit(hidden)).otherwise(raw)
+        return F.when(fields.isNotNull() | items.isNotNull(), hidden).otherwise(plain)
 
-    # Variants tell a number from a string; the text form keeps nested objects as written.
-    def member(name: Column, value: Column, written: Column) -> Column:
-        return F.struct(name.alias("k"), value.alias("v"), written.alias("w"))
+    def shown(m: Column) -> Column:
+        label = F.coalesce(F.concat(_quoted(m["key"]), F.lit(":")), F.lit(""))
+        held = F.when(suspicious(m["key"]), hidden).otherwise(_redacted(m["value"], depth - 1))
+        return F.concat(label, held)
 
-    fields = _once(
-        F.from_json(raw, "map<string,string>"),
-        lambda written: F.transform(
-            F.map_entries(F.from_json(raw, "map<string,variant>")),
-            lambda e: member(e["key"], e["value"], F.try_element_at(written, e["key"])),
-        ),
+    unnamed = F.transform(
+        items, lambda v: F.struct(F.lit(None).cast("string").alias("key"), v.alias("value"))
     )
-    items = F.zip_with(
-        F.from_json(raw, "array<variant>"), F.from_json(raw, "array<string>"),
-        lambda v, w: member(F.lit(None).cast("string"), v, w),
+    body = F.array_join(F.transform(F.coalesce(F.map_entries(fields), unnamed), shown), ",")
+    wrapped = F.when(fields.isNotNull(), F.concat(F.lit("{"), body, F.lit("}"))).when(
+        items.isNotNull(), F.concat(F.lit("["), body, F.lit("]"))
     )
-
-    def shown(m: Column) -> Column:
-        plain = F.coalesce(F.to_json(m["v"]), F.lit("null"))
-        text = _once(
-            plain, lambda p: F.when(F.substring(p, 1, 1).isin("{", "["), m["w"]).otherwise(p)
-        )
-        label = F.coalesce(F.concat(_quoted(m["k"]), F.lit(":")), F.lit(""))
-        value = F.when(suspicious(m["k"]), F.lit(hidden)).otherwise(redact(text, depth - 1))
-        return F.concat(label, value)
-
-    members = F.when(opens == "{", fields).when(opens == "[", items)
-    body = F.array_join(F.transform(members, shown), ",")
-    closes = F.when(opens == "{", F.lit("}")).otherwise(F.lit("]"))
-    return F.when(opens.isin("{", "["), F.concat(opens, body, closes)).otherwise(raw)
+    return F.coalesce(wrapped, plain)
 
 
 def merge_context(outer: Column, inner: Column, extras: Column) -> Column:

@@ -89,9 +89,16 @@ def blank_fill(mean: Column, spread: Column) -> Column:
 
 def signature_distance(left: Column, right: Column) -> Column:
     """Largest byte difference of two hex strings over 255; 1.0 when their lengths differ."""
-    last = (F.length(left) / 2 - 1).cast("int")
-    byte = lambda text, i: F.conv(F.substr(text, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    gaps = F.transform(F.sequence(F.lit(0), last), lambda i: F.abs(byte(left, i) - byte(right, i)))
+    def numbers(text: Column) -> Column:
+        """Seven bytes at a time, the most a long holds without its sign."""
+        pieces = F.regexp_extract_all(text, F.lit(".{1,14}"), F.lit(0))
+        return F.transform(pieces, lambda p: F.conv(p, 16, 10).cast("bigint"))
+
+    byte = lambda n, at: F.shiftright(n, 8 * at).bitwiseAND(F.lit(255))
+    gaps = F.zip_with(
+        numbers(left), numbers(right),
+        lambda a, b: F.greatest(*[F.abs(byte(a, at) - byte(b, at)) for at in range(7)]),
+    )
     return F.when(F.length(left) != F.length(right), F.lit(1.0)).otherwise(
         F.array_max(gaps).cast("double") / 255.0
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from darkroom.functions import fixed, policy
-from darkroom.operators.ordered import by_sequence, scan
+from darkroom.operators.ordered import BLOCK_ROWS, by_sequence, scan
 from darkroom.operators.ranks import exact_percentile, ordinal_rank
 
 
@@ -257,7 +257,7 @@ def tagged_union(frames: dict[str, DataFrame], tag: str = "dataset") -> DataFram
 
 
 def carry_incumbent(
-    passes: DataFrame, key: str, order: Sequence[str], block: Column | None = None
+    passes: DataFrame, key: str, order: Sequence[str], heavy_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """``kept`` where the pass improved, and the cost standing after each pass.
 
@@ -265,7 +265,8 @@ def carry_incumbent(
     """
     kept = passes.withColumn("kept", F.col("delta") < 0)
     carried = scan(
-        kept, [key], list(order), block if block is not None else by_sequence(order[0]),
+        kept, [key], list(order), by_sequence(order[0], heavy_rows),
+        heavy_rows=heavy_rows,
         last_value={"__cost": F.when(F.col("kept"), F.col("cost"))},
     )
     return carried.withColumn("cost_after", F.coalesce("__cost", F.col("start_cost"))).drop("__cost")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from darkroom.functions import fixed
+from darkroom.operators.ordered import mark_heavy
 
 Arrays = dict[str, np.ndarray]
 DEFAULT_ROWS = 1 << 20
@@ -70,16 +71,12 @@ def _groups(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[pd
         yield pd.concat(held) if len(held) > 1 else held[0]
 
 
-def _long_histories(df: DataFrame, key: str, bucket: str, rows: int) -> DataFrame:
-    """(key, bucket, block) for the keys with more than ``rows`` rows; usually none."""
-    counts = df.groupBy(key, bucket).agg(F.count(F.lit(1)).alias("__n"))
-    long = counts.groupBy(key).agg(F.sum("__n").alias("__all")).where(F.col("__all") > rows)
+def _blocks(rows_of_heavy: DataFrame, key: str, bucket: str, rows: int) -> DataFrame:
+    """(key, bucket, block): consecutive time buckets of a key together up to about ``rows`` rows."""
+    counts = rows_of_heavy.groupBy(key, bucket).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        counts.join(long.select(key), key)
-        .withColumn("__block", F.floor(F.coalesce(F.sum("__n").over(before), F.lit(0)) / rows))
-        .select(key, bucket, "__block")
-    )
+    number = F.floor(F.coalesce(F.sum("__n").over(before), F.lit(0)) / rows)
+    return counts.select(key, bucket, number.alias("__block"))
 
 
 def fold(
@@ -93,7 +90,9 @@ def fold(
     """
     by_key_and_block = [key, "__block"]
     timed = df.withColumn("__bucket", F.floor(F.col("t") / int(bucket_seconds * 1_000_000)))
-    long = _long_histories(timed, key, "__bucket", rows)
+    marked = mark_heavy(timed, [key], rows)
+    heavy = marked.where("__heavy")
+    dense = heavy.join(_blocks(heavy, key, "__bucket", rows), [key, "__bucket"])
 
     def in_order(frame: DataFrame) -> DataFrame:
         return frame.repartition(*by_key_and_block).sortWithinPartitions(*by_key_and_block, *order)
@@ -111,7 +110,7 @@ def fold(
             )
 
     maps = in_order(
-        timed.join(long, [key, "__bucket"]).select(key, "__block", *dict.fromkeys([*order, *rule.inputs]))
+        dense.select(key, "__block", *dict.fromkeys([*order, *rule.inputs]))
     ).mapInPandas(summaries, f"{key} {key_type}, __block bigint, __map array<bigint>")
 
     def chain(group: pd.DataFrame) -> pd.DataFrame:
@@ -150,12 +149,13 @@ def fold(
             joined = {c: np.concatenate([part[c] for part in parts]) for c in rule.outputs}
             yield batch.drop(columns=["__block", "__entry"]).assign(**joined)
 
-    tagged = (
-        timed.join(long, [key, "__bucket"], "left")
-        .withColumn("__block", F.coalesce("__block", F.lit(0).cast("bigint")))
-        .drop("__bucket")
-        .join(entries, by_key_and_block, "left")
-        .select(*df.columns, "__block", "__entry")
+    # Only heavy keys meet the block tables; all other rows go straight to their one shuffle.
+    light = marked.where("__heavy IS NULL").select(
+        *df.columns, F.lit(0).cast("bigint").alias("__block"),
+        F.lit(None).cast("array<bigint>").alias("__entry"),
+    )
+    tagged = light.unionByName(
+        dense.join(entries, by_key_and_block).select(*df.columns, "__block", "__entry")
     )
     return in_order(tagged).mapInPandas(replayed, f"{kept}, {added}")
 

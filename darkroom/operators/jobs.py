@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from darkroom.functions import fixed
-from darkroom.operators.ordered import by_sequence, by_time, first_per_key, scan
+from darkroom.operators.ordered import BLOCK_ROWS, by_sequence, by_time, first_per_key, scan
 from darkroom.operators.ranks import exact_percentile
 
 ORDER = ["id"]
@@ -28,7 +28,7 @@ def dedupe_images(images: DataFrame, order: list[str]) -> DataFrame:
     return first_per_key(images, ["sha256"], order)
 
 
-def jobs_with_steps(jobs: DataFrame, steps: DataFrame, block: Column | None = None) -> DataFrame:
+def jobs_with_steps(jobs: DataFrame, steps: DataFrame, heavy_rows: int = BLOCK_ROWS) -> DataFrame:
     """Each job with its steps in order, one row per step; jobs without steps keep one row.
 
     Flat rather than nested, so that a job's history is never one value in one task. The two
@@ -36,7 +36,7 @@ def jobs_with_steps(jobs: DataFrame, steps: DataFrame, block: Column | None = No
     """
     numbered = scan(
         steps.withColumn("__one", F.lit(1).cast("bigint")),
-        ["job_id"], ORDER, block if block is not None else by_sequence("id"),
+        ["job_id"], ORDER, by_sequence("id", heavy_rows), heavy_rows=heavy_rows,
         running_sum={"step_no": F.col("__one")},
     ).drop("__one")
     numbered = numbered.select(
@@ -62,10 +62,10 @@ def current_state(jobs: DataFrame, steps: DataFrame) -> DataFrame:
     )
 
 
-def fill_progress(steps: DataFrame, block: Column | None = None) -> DataFrame:
+def fill_progress(steps: DataFrame, heavy_rows: int = BLOCK_ROWS) -> DataFrame:
     """A step that reports no progress repeats the last reported one, 0.0 before any."""
     filled = scan(
-        steps, ["job_id"], ORDER, block if block is not None else by_sequence("id"),
+        steps, ["job_id"], ORDER, by_sequence("id", heavy_rows), heavy_rows=heavy_rows,
         last_value={"__progress": F.col("progress")},
     )
     return filled.withColumn("progress", F.coalesce("__progress", F.lit(0.0))).drop("__progress")
@@ -82,10 +82,10 @@ def legal_move(from_state: Column, to_state: Column) -> Column:
     return F.array_contains(F.try_element_at(legal, from_state), to_state)
 
 
-def illegal_transitions(steps: DataFrame, block: Column | None = None) -> DataFrame:
+def illegal_transitions(steps: DataFrame, heavy_rows: int = BLOCK_ROWS) -> DataFrame:
     """Steps whose state may not follow the one before; cancelling a finished job is not one."""
     paired = scan(
-        steps, ["job_id"], ORDER, block if block is not None else by_sequence("id"),
+        steps, ["job_id"], ORDER, by_sequence("id", heavy_rows), heavy_rows=heavy_rows,
         previous={"from_state": F.col("state")},
     )
     late_cancel = F.col("from_state").isin(*fixed.TERMINAL) & (F.col("state") == "cancelled")
@@ -96,11 +96,14 @@ def illegal_transitions(steps: DataFrame, block: Column | None = None) -> DataFr
     ).select("job_id", "id", "from_state", F.col("state").alias("to_state"))
 
 
-def artifacts_in_order(artifacts: DataFrame, block_seconds: float = 86_400.0) -> DataFrame:
+def artifacts_in_order(
+    artifacts: DataFrame, block_seconds: float = 86_400.0, heavy_rows: int = BLOCK_ROWS
+) -> DataFrame:
     """Every job's artifacts with their position by (created_at, id)."""
     return scan(
         artifacts.withColumn("__one", F.lit(1).cast("bigint")),
         ["job_id"], ["created_at", "id"], by_time("created_at", block_seconds),
+        heavy_rows=heavy_rows,
         running_sum={"position": F.col("__one")},
     ).drop("__one")
 

@@ -145,15 +145,14 @@ def strongest_features(weights: DataFrame, n: int = 5, name: str = "feature") ->
 
 def text_features(text: Column) -> dict[str, Column]:
     """Shape of a document as numbers."""
-    letters = F.length(F.regexp_replace(text, r"(?U)\W", ""))
-    words = F.size(F.split(F.trim(text), r"\s+"))
+    words = F.split(text, " ")
+    letters = F.length(F.regexp_replace(text, "[^A-Za-z]", ""))
+    chars = F.greatest(F.length(text), F.lit(1))
     return {
         "chars": F.length(text).cast("double"),
-        "words": words.cast("double"),
+        "words": F.size(words).cast("double"),
         "lines": F.size(F.split(text, "\n")).cast("double"),
-        "word_length": (letters / F.greatest(words, F.lit(1))).cast("double"),
-        "letter_share": (letters / F.greatest(F.length(text), F.lit(1))).cast("double"),
-        "distinct_share": (
-            F.size(F.array_distinct(F.split(F.lower(F.trim(text)), r"\s+"))) / F.greatest(words, F.lit(1))
-        ).cast("double"),
+        "word_length": F.length(text) / F.size(words),
+        "letter_share": letters / chars,
+        "distinct_share": F.size(F.array_distinct(words)) / F.size(words),
     }

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from darkroom.functions import fixed
 from darkroom.operators.ordered import by_sequence, scan, top_per_key
+from darkroom.session import cut_lineage
 
 RUN_BUCKET = 1 << 16
 CHUNK = 1 << 16
@@ -28,16 +29,25 @@ def rle_encode(pixels: DataFrame, masks: DataFrame, block_rows: int = 1 << 20) -
         (F.col("v") != 0).alias("on"),
     )
     block = by_sequence("i", block_rows)
-    turned = scan(flat, ["mask_id"], ["i"], block, previous={"was": F.col("on")}).withColumn(
-        "turn", (F.col("on") != F.coalesce("was", F.lit(False))).cast("bigint")
-    )
-    numbered = scan(turned, ["mask_id"], ["i"], block, running_sum={"run_no": F.col("turn")})
-    runs = numbered.groupBy("mask_id", "run_no").agg(
-        F.min("i").alias("start"), F.count(F.lit(1)).alias("len")
-    )
+    seen = scan(flat, ["mask_id"], ["i"], block, previous={"was": F.col("on")},
+                heavy_rows=block_rows)
+    # From here on there is one row per run, not per pixel, and the pixels are not read again.
+    starts = cut_lineage(
+        seen.where(F.col("was").isNull() | (F.col("on") != F.col("was"))).select("mask_id", "i", "on")
+    )
+    paired = scan(
+        starts.withColumn("turn", (F.col("on") | (F.col("i") > 0)).cast("bigint")), ["mask_id"], ["i"],
+        block, following={"next": F.col("i")}, running_sum={"run_no": F.col("turn")},
+        heavy_rows=block_rows,
+    )
+    whole = masks.select("mask_id", (F.col("width").cast("bigint") * F.col("height")).alias("all"))
+    runs = paired.join(whole, "mask_id").select(
+        "mask_id", "run_no", F.col("i").alias("start"),
+        (F.coalesce("next", "all") - F.col("i")).alias("len"),
+    )
+    none = F.lit(0).cast("bigint")
     opening = runs.where("start = 0 AND run_no = 1").select(
-        "mask_id", F.lit(0).cast("bigint").alias("run_no"), F.lit(0).cast("bigint").alias("start"),
-        F.lit(0).cast("bigint").alias("len"),
+        "mask_id", none.alias("run_no"), none.alias("start"), none.alias("len")
     )
     return runs.unionByName(opening)
 
@@ -54,7 +64,7 @@ def runs_of(masks: DataFrame, block_rows: int = 1 << 16) -> DataFrame:
         "mask_id", F.col("run_no").cast("bigint").alias("run_no"), F.col("len").cast("bigint").alias("len")
     )
     ends = scan(each, ["mask_id"], ["run_no"], by_sequence("run_no", block_rows),
-                running_sum={"end": F.col("len")})
+                running_sum={"end": F.col("len")}, heavy_rows=block_rows)
     return ends.select("mask_id", "run_no", (F.col("end") - F.col("len")).alias("start"), "len")
 
 

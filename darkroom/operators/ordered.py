@@ -1,9 +1,10 @@
-"""Ordered per-key scans that do not put a whole key in one task.
+"""Ordered per-key scans that do not put a heavy key in one task.
 
 ``Window.partitionBy(key).orderBy(seq)`` sends every row of a key to one task. When one key
-holds a third of the table that task is the job. Here the key's history is cut into blocks of
-the ordering column, each block is scanned on its own, one summary row per block is carried
-along the key, and the carry is joined back. Only block summaries meet in one task.
+holds a third of the table that task is the job. Here a heavy key's history is cut into blocks
+of the ordering column, each block is scanned on its own, one summary row per block is carried
+along the key, and the carry is joined back. Only block summaries meet in one task. All other
+keys are one block each and cost what the plain window costs.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = "__block"
-DEFAULT_BLOCK_ROWS = 1 << 20
+BLOCK_ROWS = 1 << 20
+HEAVY_LIMIT = 10_000
 
 
-def by_sequence(column: str, rows: int = DEFAULT_BLOCK_ROWS) -> Column:
+def by_sequence(column: str, rows: int = BLOCK_ROWS) -> Column:
     """Blocks of a dense integer sequence: a (key, block) group holds at most ``rows`` rows."""
     return F.floor(F.col(column) / F.lit(rows)).cast("bigint")
 
@@ -27,6 +29,23 @@ def by_time(column: str, seconds: float) -> Column:
     return F.floor(F.unix_micros(F.col(column)) / F.lit(int(seconds * 1_000_000))).cast("bigint")
 
 
+def mark_heavy(df: DataFrame, keys: Sequence[str], rows: int = BLOCK_ROWS) -> DataFrame:
+    """Add ``__heavy``: true on rows of keys with more than ``rows`` rows, null elsewhere.
+
+    Keys are counted by hash, combined on the map side. What is broadcast is at most
+    ``HEAVY_LIMIT`` hashes, the heaviest; a key left out holds under 1 / HEAVY_LIMIT of the table
+    and is handled whole.
+    """
+    hashed = F.xxhash64(*keys)
+    heavy = (
+        df.groupBy(hashed.alias("__h")).agg(F.count(F.lit(1)).alias("__n"))
+        .where(F.col("__n") > rows)
+        .orderBy(F.col("__n").desc(), "__h").limit(HEAVY_LIMIT)
+        .select("__h", F.lit(True).alias("__heavy"))
+    )
+    return df.withColumn("__h", hashed).join(F.broadcast(heavy), "__h", "left").drop("__h")
+
+
 def scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -34,66 +53,77 @@ def scan(
     block: Column,
     *,
     previous: Mapping[str, Column] | None = None,
+    following: Mapping[str, Column] | None = None,
     running_sum: Mapping[str, Column] | None = None,
-    running_max: Mapping[str, Column] | None = None,
     last_value: Mapping[str, Column] | None = None,
+    heavy_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Add lagged and running columns per key, in ``order``.
+    """Add neighbouring and running columns per key, in ``order``.
 
-    ``previous``: the expression on the row before (null on the first row).
-    ``running_sum`` / ``running_max``: inclusive prefix aggregate.
-    ``last_value``: last non-null value up to and including this row.
+    ``previous`` / ``following``: the expression on the row before / after, null at the ends.
+    ``running_sum``: inclusive prefix sum. ``last_value``: last non-null value up to this row.
+    ``block`` cuts the keys with more than ``heavy_rows`` rows and must not decrease in order.
     """
-    previous, running_sum = dict(previous or {}), dict(running_sum or {})
-    running_max, last_value = dict(running_max or {}), dict(last_value or {})
+    previous, following = dict(previous or {}), dict(following or {})
+    running_sum, last_value = dict(running_sum or {}), dict(last_value or {})
     keys, order = list(keys), list(order)
 
-    inputs = {**previous, **running_sum, **running_max, **last_value}
-    base = df.withColumn(BLOCK, block).withColumns({f"__in_{n}": e for n, e in inputs.items()})
+    inputs = {**previous, **following, **running_sum, **last_value}
+    base = mark_heavy(df, keys, heavy_rows).withColumns(
+        {
+            BLOCK: F.when(F.col("__heavy"), block).otherwise(F.lit(0).cast("bigint")),
+            **{f"__in_{n}": e for n, e in inputs.items()},
+        }
+    )
+    value = lambda n: F.struct(F.col(f"__in_{n}").alias("v"))
+    given = lambda n: F.col(f"__in_{n}")
 
+    # What each block of a heavy key leaves behind, and what each one is entered with.
     at = F.struct(*[F.col(c) for c in order])
-    totals = [F.max_by(F.struct(F.col(f"__in_{n}").alias("v")), at).alias(f"__t_{n}") for n in previous]
-    totals += [F.sum(f"__in_{n}").alias(f"__t_{n}") for n in running_sum]
-    totals += [F.max(f"__in_{n}").alias(f"__t_{n}") for n in running_max]
-    totals += [
-        F.max_by(F.col(f"__in_{n}"), F.when(F.col(f"__in_{n}").isNotNull(), at)).alias(f"__t_{n}")
-        for n in last_value
-    ]
+    totals = {
+        **{n: F.max_by(value(n), at) for n in previous},
+        **{n: F.min_by(value(n), at) for n in following},
+        **{n: F.sum(given(n)) for n in running_sum},
+        **{n: F.max_by(given(n), F.when(given(n).isNotNull(), at)) for n in last_value},
+    }
     along = Window.partitionBy(*keys).orderBy(BLOCK)
     before = along.rowsBetween(Window.unboundedPreceding, -1)
-    carries = {f"__c_{n}": F.lag(f"__t_{n}").over(along) for n in previous}
-    carries |= {f"__c_{n}": F.sum(f"__t_{n}").over(before) for n in running_sum}
-    carries |= {f"__c_{n}": F.max(f"__t_{n}").over(before) for n in running_max}
-    carries |= {f"__c_{n}": F.last(f"__t_{n}", ignorenulls=True).over(before) for n in last_value}
+    total = lambda n: F.col(f"__t_{n}")
+    carries = {
+        **{n: F.lag(total(n)).over(along) for n in previous},
+        **{n: F.lead(total(n)).over(along) for n in following},
+        **{n: F.sum(total(n)).over(before) for n in running_sum},
+        **{n: F.last(total(n), ignorenulls=True).over(before) for n in last_value},
+    }
     carry = (
-        base.groupBy(*keys, BLOCK).agg(*totals).withColumns(carries)
-        .select(*keys, BLOCK, *carries)
+        base.where("__heavy").groupBy(*keys, BLOCK)
+        .agg(*[e.alias(f"__t_{n}") for n, e in totals.items()])
+        .select(*keys, BLOCK, *[e.alias(f"__c_{n}") for n, e in carries.items()])
     )
 
     inside = Window.partitionBy(*keys, BLOCK).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = {f"__l_{n}": F.lag(F.struct(F.col(f"__in_{n}").alias("v"))).over(inside) for n in previous}
-    local |= {f"__l_{n}": F.sum(f"__in_{n}").over(upto) for n in running_sum}
-    local |= {f"__l_{n}": F.max(f"__in_{n}").over(upto) for n in running_max}
-    local |= {
-        f"__l_{n}": F.last(f"__in_{n}", ignorenulls=True).over(upto) for n in last_value
+    local = {
+        **{n: F.lag(value(n)).over(inside) for n in previous},
+        **{n: F.lead(value(n)).over(inside) for n in following},
+        **{n: F.sum(given(n)).over(upto) for n in running_sum},
+        **{n: F.last(given(n), ignorenulls=True).over(upto) for n in last_value},
     }
-
-    joined = base.withColumns(local).join(carry, [*keys, BLOCK], "left")
-    out = {n: F.coalesce(F.col(f"__l_{n}"), F.col(f"__c_{n}"))["v"] for n in previous}
-    for n in running_sum:
-        both = F.coalesce(F.col(f"__l_{n}"), F.lit(0)) + F.coalesce(F.col(f"__c_{n}"), F.lit(0))
-        out[n] = F.when(F.col(f"__l_{n}").isNotNull() | F.col(f"__c_{n}").isNotNull(), both)
-    out |= {n: F.greatest(F.col(f"__l_{n}"), F.col(f"__c_{n}")) for n in running_max}
-    out |= {n: F.coalesce(F.col(f"__l_{n}"), F.col(f"__c_{n}")) for n in last_value}
+    # The windowed side is already partitioned and sorted by (keys, block) for this join.
+    joined = base.withColumns({f"__l_{n}": e for n, e in local.items()}).join(
+        carry, [*keys, BLOCK], "left"
+    )
+    mine, came = (lambda n: F.col(f"__l_{n}")), (lambda n: F.col(f"__c_{n}"))
+    out = {n: F.coalesce(mine(n), came(n))["v"] for n in [*previous, *following]}
+    out |= {n: F.coalesce(mine(n) + came(n), mine(n), came(n)) for n in running_sum}
+    out |= {n: F.coalesce(mine(n), came(n)) for n in last_value}
     kept = [c for c in df.columns if c not in out]
     return joined.select(*kept, *[e.alias(n) for n, e in out.items()])
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first row of each key. Spark keeps one row per key on the map side of the shuffle."""
-    rank = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(rank)).where("__rn = 1").drop("__rn")
+    return top_per_key(df, keys, order, 1, "__rn").drop("__rn")
 
 
 def top_per_key(

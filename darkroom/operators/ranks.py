@@ -14,26 +14,29 @@ def ordinal_rank(df: DataFrame, order: Sequence[Column | str], name: str) -> Dat
     """0-based position of every row in ``order``, which must be total.
 
     One range shuffle spreads the rows evenly, ties included, because the tie-breaker is part
-    of the range key. The ranged rows are written once, so the slice sizes and the local row
-    numbers read the same slices; what is broadcast is one number per slice.
+    of the range key. Each sorted slice numbers its own rows as it is written; afterwards a
+    slice only needs to know how many rows lie in the slices before it, one number per slice.
     """
     width = shuffle_width(df.sparkSession)
-    ranged = cut_lineage(
-        df.repartitionByRange(width, *order).withColumn("__slice", F.spark_partition_id())
+    # A generated id is its slice number times 2^33 plus the row's place in the slice.
+    placed = cut_lineage(
+        df.repartitionByRange(width, *order)
+        .sortWithinPartitions(*order)
+        .withColumn("__id", F.monotonically_increasing_id())
     )
+    slice_of = F.shiftright("__id", 33)
     before = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        ranged.groupBy("__slice")
+        placed.groupBy(slice_of.alias("__slice"))
         .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-        .drop("__n")
+        .select("__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     )
-    local = F.row_number().over(Window.partitionBy("__slice").orderBy(*order)) - 1
+    # The broadcast side has one row per range slice: at most `width` rows.
     return (
-        ranged.withColumn("__local", local)
-        .join(F.broadcast(offsets), "__slice")  # one row per range slice, so at most `width`
-        .withColumn(name, F.col("__before") + F.col("__local"))
-        .drop("__slice", "__local", "__before")
+        placed.withColumn("__slice", slice_of)
+        .join(F.broadcast(offsets), "__slice")
+        .withColumn(name, F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
+        .drop("__slice", "__id", "__before")
     )
 
 
@@ -81,11 +84,16 @@ def exact_percentile(
         F.percentile_approx("__x", ends, accuracy).alias("__ends"),
         F.count(F.lit(1)).alias("__n"),
     )
-    counts = x.groupBy(*group, "__x").agg(F.count(F.lit(1)).alias("__c"))
+    # Over the whole table the sketch is one row, so rows meet it before any shuffle. Per key the
+    # values are counted first, which sends each task's distinct values on once.
+    met = (
+        x.groupBy(*group, "__x").agg(F.count(F.lit(1)).alias("__c")).join(sketch, group)
+        if keys
+        else x.withColumn("__c", F.lit(1).cast("bigint")).join(F.broadcast(sketch), group)
+    )
     small = F.col("__n") <= accuracy  # the bracket is counted in ranks, so few rows need none
     inside = (
-        counts.join(sketch, group)
-        .where(small | (F.col("__x") <= F.col("__ends")[1]))
+        met.where(small | (F.col("__x") <= F.col("__ends")[1]))
         .withColumn("__y", F.when(small | (F.col("__x") >= F.col("__ends")[0]), F.col("__x")))
         .groupBy(*group, "__y", "__n")
         .agg(F.sum("__c").alias("__c"))

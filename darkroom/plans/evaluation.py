@@ -158,14 +158,14 @@ def _(spark, sf):
     return table(spark, sf, "lineitem").select(*LINE, F.round(cost, 6).alias("cost"))
 
 
-@plans.add("sc9_compare_cost", """select l_orderkey, l_linenumber, l_partkey, l_suppkey, round((l_quantity + 25 *
-  greatest(l_suppkey - l_partkey, 0)::double / greatest(l_partkey, 1)) - l_extendedprice / 1000, 6) as delta
+@plans.add("sc9_compare_cost", """select l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_quantity + 25 *
+  greatest(l_suppkey - l_partkey, 0)::double / greatest(l_partkey, 1)) - l_extendedprice / 1000 as delta
   from lineitem""")
 def _(spark, sf):
     delta = policy.compare_cost(
         F.col("l_quantity"), F.col("l_extendedprice") / 1000, F.col("l_partkey"), F.col("l_suppkey")
     )
-    return table(spark, sf, "lineitem").select(*LINE, F.round(delta, 6).alias("delta"))
+    return table(spark, sf, "lineitem").select(*LINE, delta.alias("delta"))
 
 
 def planned(spark, sf):
@@ -395,14 +395,14 @@ def _(spark, sf):
 
 
 @plans.add("sc21_blank_fill", """select l_orderkey as region_id,
-  round((avg(l_quantity) + avg(abs(l_discount) * 100) + avg(abs(l_tax) * 100)) / 3, 6) as mean,
-  round(greatest(stddev_pop(l_quantity), stddev_pop(abs(l_discount) * 100), stddev_pop(abs(l_tax) * 100)), 6) as spread,
-  (avg(l_quantity) + avg(abs(l_discount) * 100) + avg(abs(l_tax) * 100)) / 3 < 16 and
-  greatest(stddev_pop(l_quantity), stddev_pop(abs(l_discount) * 100), stddev_pop(abs(l_tax) * 100)) < 8 as blank
+  round((avg(l_quantity * 1.01) + avg(abs(l_discount) * 97) + avg(abs(l_tax) * 100)) / 3, 6) as mean,
+  round(greatest(stddev_pop(l_quantity * 1.01), stddev_pop(abs(l_discount) * 97), stddev_pop(abs(l_tax) * 100)), 6) as spread,
+  (avg(l_quantity * 1.01) + avg(abs(l_discount) * 97) + avg(abs(l_tax) * 100)) / 3 < 16 and
+  greatest(stddev_pop(l_quantity * 1.01), stddev_pop(abs(l_discount) * 97), stddev_pop(abs(l_tax) * 100)) < 8 as blank
   from lineitem group by l_orderkey""")
 def _(spark, sf):
     pixels = table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("region_id"), F.col("l_quantity").alias("r"),
-        (F.abs("l_discount") * 100).alias("g"), (F.abs("l_tax") * 100).alias("b"),
+        F.col("l_orderkey").alias("region_id"), (F.col("l_quantity") * 1.01).alias("r"),
+        (F.abs("l_discount") * 97).alias("g"), (F.abs("l_tax") * 100).alias("b"),
     )
     return rounded(ops.blank_regions(pixels, ["r", "g", "b"]))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from darkroom.plans.registry import Registry
 from darkroom.plans.specs import SPECS, spec_rows
 from darkroom.plans.tables import STEPS_SQL, jobs, steps, table
+from darkroom.session import scratch_dir
 from darkroom.sources import readers, writers
 
 plans = Registry()
@@ -21,7 +22,7 @@ def _(spark, sf):
 @plans.add("ss1_nested_fields", """select conv_id, turn, role, length(text) as chars from conversations""")
 def _(spark, sf):
     """Conversations written with a nested record list, then read for two of its fields only."""
-    path = writers.scratch_dir(spark, "nested")
+    path = scratch_dir(spark, "nested")
     table(spark, sf, "conversations").select(
         "conv_id", "turn",
         F.array(F.struct("role", F.length("text").cast("bigint").alias("chars"), "text")).alias("ref_list"),
@@ -36,7 +37,7 @@ def _(spark, sf):
   case when p_size > 25 then 'authored' else 'holdout' end as split from sp""")
 def _(spark, sf):
     """Labelled instructions as JSON Lines with blank lines between and keys left out when null."""
-    path = writers.scratch_dir(spark, "jsonl")
+    path = scratch_dir(spark, "jsonl")
     rows = spec_rows(spark, sf).select(
         F.concat("op", F.lit(" #"), "id").alias("instruction"), "op", "target", "content", "colour",
         F.when(F.col("p_size") > 25, "authored").alias("split"),
@@ -49,7 +50,7 @@ def _(spark, sf):
   where op not in ('add', 'replace') union all select id || '-b', op, p_retailprice / 2 from sp where op not in ('add', 'replace')""")
 def _(spark, sf):
     """Reports of two results each, one JSON array per line."""
-    path = writers.scratch_dir(spark, "report")
+    path = scratch_dir(spark, "report")
     ident = F.col("id").cast("string")
     pair = F.array(
         F.struct(ident.alias("id"), "op", F.col("p_retailprice").alias("cost")),
@@ -72,7 +73,7 @@ PIPELINES = {"Brand#5": "whole edit", "Brand#6": "remote", "Brand#7": "from text
   from r where run in ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5', 'Brand#6', 'Brand#7')""")
 def _(spark, sf):
     """Parts as run results, filed in one folder per run (brand); unknown runs are not reported."""
-    path = writers.scratch_dir(spark, "runs")
+    path = scratch_dir(spark, "runs")
     table(spark, sf, "part").select(
         F.replace("p_brand", F.lit("#"), F.lit("_")).alias("run"),
         (F.col("p_size") * 30.0).alias("peak_rss_mb"), F.lit("1.5").alias("cold_load_s"),
@@ -95,7 +96,7 @@ def _(spark, sf):
     substr(sha256(text), 1, 2) as prefix from documents group by sha256(text)""")
 def _(spark, sf):
     """Every document stored by content, twice; copies and the second round add nothing."""
-    root = writers.scratch_dir(spark, "objects")
+    root = scratch_dir(spark, "objects")
     blobs = table(spark, sf, "documents").select(F.encode("text", "UTF-8").alias("content"))
     writers.put_objects(blobs, root)
     writers.put_objects(blobs, root, known=writers.stored_objects(spark, root))
@@ -109,7 +110,7 @@ def _(spark, sf):
   union all select 'cost_ledger', count(*) from events""")
 def _(spark, sf):
     """The six tables written from the shared ones and loaded under their fixed schemas."""
-    root = writers.scratch_dir(spark, "store")
+    root = scratch_dir(spark, "store")
     events, part, orders = (table(spark, sf, n) for n in ("events", "part", "orders"))
     text, now = (lambda c: F.col(c).cast("string")), F.lit("2024-02-01").cast("timestamp")
     made = {
@@ -157,7 +158,7 @@ def _(spark, sf):
     from darkroom.functions import payloads
     from darkroom.streaming import progress
 
-    source, landed = writers.scratch_dir(spark, "live"), writers.scratch_dir(spark, "landed")
+    source, landed = scratch_dir(spark, "live"), scratch_dir(spark, "landed")
     sent = payloads.event_to_json(
         F.col("user_id"), F.col("event_type"), F.col("value"), F.col("event_id").cast("string"),
         F.col("event_type") == "purchase",
@@ -166,7 +167,7 @@ def _(spark, sf):
     events, _ = progress.decode_events(progress.progress_source(spark, source))
     query = (
         events.writeStream.format("parquet").option("path", landed)
-        .option("checkpointLocation", writers.scratch_dir(spark, "offsets"))
+        .option("checkpointLocation", scratch_dir(spark, "offsets"))
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
@@ -178,7 +179,7 @@ def _(spark, sf):
 @plans.add("ss9_write_report", """select l_returnflag as name, count(*) as n, round(avg(l_quantity), 6) as mean
   from lineitem group by 1""")
 def _(spark, sf):
-    path = writers.scratch_dir(spark, "summary")
+    path = scratch_dir(spark, "summary")
     summary = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("name")).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("l_quantity"), 6).alias("mean")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from darkroom.operators import learning as ops
@@ -59,12 +60,15 @@ def _(spark, sf):
     return ops.train_complement(ops.stratified_folds(rows, "id", "label", FOLDS), 0)
 
 
-@plans.add("ml3_task_features")
+@plans.add("ml3_task_features", """with w as (select d.doc_id as id, quality as label, text, string_split(text, ' ') as ws
+    from documents d join labels l on l.doc_id = d.doc_id)
+  select id, label, length(text)::double as chars, len(ws)::double as words,
+    len(string_split(text, chr(10)))::double as lines, round(length(text) / len(ws), 6) as word_length,
+    round(length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / greatest(length(text), 1), 6) as letter_share,
+    round(len(list_distinct(ws)) / len(ws), 6) as distinct_share from w""")
 def _(spark, sf):
-    from pyspark.ml.functions import vector_to_array
-
-    ready = ops.task_features(labelled(spark, sf), COLUMNS)
-    return ready.select("id", "label", vector_to_array("features").alias("features"))
+    ready = ops.task_features(labelled(spark, sf), COLUMNS).withColumn("v", vector_to_array("features"))
+    return rounded(ready.select("id", "label", *[F.col("v")[i].alias(c) for i, c in enumerate(COLUMNS)]))
 
 
 @plans.add("ml1_fit_chooser")

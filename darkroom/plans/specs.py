@@ -171,8 +171,8 @@ def _(spark, sf):
     )
 
 
-@plans.add("pv6_redact", """select event_id, '{"k":"[redacted]","Api_Key":"[redacted]","kind":"' || event_type || '","user":{"id":' || user_id
-    || ',"session_token":"[redacted]","cookie_jar":"[redacted]","at":[' || event_id || ',{"password":"[redacted]","ok":true}]}}'
+@plans.add("pv6_redact", """select event_id, '{"Api_Key":"[redacted]","k":"[redacted]","kind":"' || event_type || '","user":{"at":['
+    || event_id || ',{"ok":true,"password":"[redacted]"}],"cookie_jar":"[redacted]","id":' || user_id || ',"session_token":"[redacted]"}}'
     as fields from events""")
 def _(spark, sf):
     """Each event as a nested log record with credentials at every level."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,10 +44,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def scratch_dir(spark: SparkSession, purpose: str) -> str:
+    """A new folder next to the checkpoints, where every executor can write."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in reliable storage, so later reads see exactly one version of it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the shared folder and read it back.
+
+    Later reads see exactly one version of the rows, survive lost executors, and read only the
+    columns they need. ``checkpoint`` would compute the rows a second time to save them.
+    """
+    path = scratch_dir(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -2,17 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from darkroom.session import ensure_checkpoint_dir
-
-
-def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder next to the checkpoints, where every executor can write."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
 def write_report(df: DataFrame, path: str, form: str = "json", mode: str = "errorifexists") -> None:
