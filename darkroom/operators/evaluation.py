@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from darkroom.functions import fixed, policy
 from darkroom.operators.ordered import BLOCK_ROWS, by_sequence, scan
-from darkroom.operators.ranks import exact_percentile, ordinal_rank
+from darkroom.operators.ranks import exact_percentile, exact_percentiles, ordinal_rank
 
 
 def share(test: Column) -> Column:
@@ -35,9 +35,8 @@ def iou_summary(results: DataFrame) -> DataFrame:
         share(iou >= 0.7).alias("precision_70"),
         share(iou < 0.1).alias("failures_10"),
     )
-    half = exact_percentile(results, [], "iou", "median_iou")
-    slow = exact_percentile(results, [], "seconds", "median_seconds")
-    return _one_row(means, half, slow).fillna(0.0, ["median_iou", "median_seconds"])
+    medians = exact_percentiles(results, {"median_iou": "iou", "median_seconds": "seconds"})
+    return _one_row(means, medians).fillna(0.0, ["median_iou", "median_seconds"])
 
 
 def iou_by(results: DataFrame, key: Column, name: str) -> DataFrame:
@@ -136,50 +135,50 @@ def planner_summary(results: DataFrame) -> DataFrame:
 
     Unmeasured rows are counted and left out of every denominator.
     """
-    measured = results.where(~F.col("unmeasured"))
-    correct = F.col("correct")
-    rule, model = F.col("route") == "rule", F.col("route") == "model"
-    edit = F.col("expected_op").isNotNull()
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    one = results.agg(
-        F.count_if(~F.col("unmeasured")).cast("double").alias("n"),
-        F.count_if(F.col("unmeasured")).cast("double").alias("unmeasured"),
-        *[
-            share(F.when(~F.col("unmeasured") & test, correct)).alias(name)
-            for name, test in (
-                ("overall", F.lit(True)), ("rule", rule), ("model", model),
-                ("on_edits", edit), ("on_refusals", ~edit),
-            )
-        ],
-        zero(F.max(F.when(~F.col("unmeasured") & model, F.col("seconds")))).alias("model_max"),
-        F.count_if(~F.col("unmeasured") & model & (F.col("seconds") > fixed.DEADLINE_SECONDS))
-        .cast("double").alias("over_deadline"),
-        zero(F.sum(F.when(~F.col("unmeasured"), F.col("tokens"))).cast("double")).alias("total"),
-        zero(F.avg(F.when(~F.col("unmeasured") & model, F.col("tokens")))).alias("per_model_call"),
+    # One small cube answers everything but the medians; its branches share one shuffle.
+    correct, seconds = F.col("correct").cast("double"), F.col("seconds")
+    cube = results.groupBy(
+        "route", "split", "unmeasured", F.col("expected_op").isNotNull().alias("edit")
+    ).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(correct).alias("right"), F.sum("tokens").alias("tokens"),
+        F.max(seconds).alias("slowest"), F.count_if(seconds > fixed.DEADLINE_SECONDS).alias("late"),
     )
-    sections = {
-        "counts": ("n", "unmeasured"),
-        "accuracy": ("overall", "rule", "model", "on_edits", "on_refusals"),
-        "seconds": ("model_max", "over_deadline"),
-        "tokens": ("total", "per_model_call"),
-    }
+    asked = ~F.col("unmeasured")
+    rule, model = asked & (F.col("route") == "rule"), asked & (F.col("route") == "model")
+    over = lambda test, c: F.sum(F.when(test, F.col(c)))
+    ratio = lambda a, b: F.coalesce(a / b, F.lit(0.0))
+    accuracy = lambda test: ratio(over(test, "right"), over(test, "n"))
+    whole = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    values = [
+        ("counts", "n", whole(over(asked, "n"))),
+        ("counts", "unmeasured", whole(over(~asked, "n"))),
+        ("accuracy", "overall", accuracy(asked)),
+        ("accuracy", "rule", accuracy(rule)),
+        ("accuracy", "model", accuracy(model)),
+        ("accuracy", "on_edits", accuracy(asked & F.col("edit"))),
+        ("accuracy", "on_refusals", accuracy(asked & ~F.col("edit"))),
+        ("seconds", "model_max", whole(F.max(F.when(model, F.col("slowest"))))),
+        ("seconds", "over_deadline", whole(over(model, "late"))),
+        ("tokens", "total", whole(over(asked, "tokens"))),
+        ("tokens", "per_model_call", ratio(over(model, "tokens"), over(model, "n"))),
+    ]
     rows = F.array(*[
-        F.struct(F.lit(section).alias("section"), F.lit(name).alias("name"), F.col(name).alias("value"))
-        for section, names in sections.items() for name in names
+        F.struct(F.lit(section).alias("section"), F.lit(name).alias("name"), value.alias("value"))
+        for section, name, value in values
     ])
-    long = one.select(F.inline(rows))
+    long = cube.agg(rows.alias("rows")).select(F.inline("rows"))
+    total = cube.where(asked).agg(F.sum("n").alias("__n"), F.lit(1).alias("__one"))
     routes = (
-        measured.groupBy(F.col("route").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("c"))
-        .withColumn("__one", F.lit(1))
-        .join(one.select(F.col("n").alias("__n"), F.lit(1).alias("__one")), "__one")
+        cube.where(asked).groupBy(F.col("route").alias("name")).agg(F.sum("n").alias("c"), F.lit(1).alias("__one"))
+        .join(total, "__one")
         .select(F.lit("coverage").alias("section"), "name", (F.col("c") / F.col("__n")).alias("value"))
     )
-    splits = measured.groupBy(F.col("split").alias("name")).agg(share(correct).alias("value")).select(
-        F.lit("by_split").alias("section"), "name", "value"
-    )
-    medians = exact_percentile(measured.where(rule | model), ["route"], "seconds", "value").select(
-        F.lit("seconds").alias("section"), F.concat("route", F.lit("_median")).alias("name"), "value"
-    )
+    splits = cube.where(asked).groupBy(F.col("split").alias("name")).agg(
+        (F.sum("right") / F.sum("n")).alias("value")
+    ).select(F.lit("by_split").alias("section"), "name", "value")
+    medians = exact_percentile(
+        results.where(rule | model), ["route"], "seconds", "value", few_groups=True
+    ).select(F.lit("seconds").alias("section"), F.concat("route", F.lit("_median")).alias("name"), "value")
     return long.unionByName(routes).unionByName(splits).unionByName(medians)
 
 
@@ -317,15 +316,15 @@ def review_summary(reviews: DataFrame) -> DataFrame:
 
 def rank_variants(results: DataFrame, case: str) -> DataFrame:
     """Position of each variant: best IoU first, cheaper first on ties, shared when equal."""
-    # A variant's rank is one more than the number of better (iou, cost) pairs of its case;
-    # distinct pairs are counted first, so a case tried very often does not fill one task.
-    pairs = results.groupBy(case, "iou", "cost").agg(F.count(F.lit(1)).alias("__n"))
-    better = (
-        Window.partitionBy(case).orderBy(F.col("iou").desc(), F.col("cost").asc())
-        .rowsBetween(Window.unboundedPreceding, -1)
+    # Positions in one whole-table order; a shared rank is the first position of equal variants,
+    # counted from the first position of the case. No case is ordered in one task.
+    placed = ordinal_rank(results, [case, F.col("iou").desc(), "cost"], "__at")
+    first = placed.groupBy(case, "iou", "cost").agg(F.min("__at").alias("__first"))
+    start = first.groupBy(case).agg(F.min("__first").alias("__start"))
+    ranked = first.join(start, case).select(
+        case, "iou", "cost", (F.col("__first") - F.col("__start") + 1).alias("rank")
     )
-    ranked = pairs.withColumn("rank", F.coalesce(F.sum("__n").over(better), F.lit(0)) + 1).drop("__n")
-    return results.join(ranked, [case, "iou", "cost"])
+    return placed.drop("__at").join(ranked, [case, "iou", "cost"])
 
 
 def changed_fraction(

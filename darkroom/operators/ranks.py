@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from darkroom.session import cut_lineage, shuffle_width
+from darkroom.session import cut_lineage
 
 
 def ordinal_rank(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
-    """0-based position of every row in ``order``, which must be total.
+    """0-based position of every row in ``order``.
 
-    One range shuffle spreads the rows evenly, ties included, because the tie-breaker is part
-    of the range key. Each sorted slice numbers its own rows as it is written; afterwards a
+    One range shuffle spreads the rows evenly, ties included, when a tie-breaker is part of the
+    range key; rows equal in all of ``order`` take neighbouring positions. Each sorted slice numbers its own rows as it is written; afterwards a
     slice only needs to know how many rows lie in the slices before it, one number per slice.
     """
-    width = shuffle_width(df.sparkSession)
     # A generated id is its slice number times 2^33 plus the row's place in the slice.
     placed = cut_lineage(
-        df.repartitionByRange(width, *order)
+        df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("__id", F.monotonically_increasing_id())
     )
@@ -31,7 +30,7 @@ def ordinal_rank(df: DataFrame, order: Sequence[Column | str], name: str) -> Dat
         .agg(F.count(F.lit(1)).alias("__n"))
         .select("__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     )
-    # The broadcast side has one row per range slice: at most `width` rows.
+    # The broadcast side has one row per range slice: at most spark.sql.shuffle.partitions rows.
     return (
         placed.withColumn("__slice", slice_of)
         .join(F.broadcast(offsets), "__slice")
@@ -59,6 +58,17 @@ def spearman(df: DataFrame, x: str, y: str, tie: Sequence[str], name: str = "rho
     )
 
 
+def exact_percentiles(df: DataFrame, columns: Mapping[str, Column | str], p: float = 0.5) -> DataFrame:
+    """One row with the exact percentile of several columns, in the two passes one column takes."""
+    as_column = lambda c: F.col(c) if isinstance(c, str) else c
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("__what"), as_column(c).cast("double").alias("__v"))
+        for name, c in columns.items()
+    ])))
+    each = exact_percentile(long, ["__what"], "__v", "__p", p, few_groups=True)
+    return each.agg(*[F.max(F.when(F.col("__what") == n, F.col("__p"))).alias(n) for n in columns])
+
+
 def exact_percentile(
     df: DataFrame,
     keys: Sequence[str],
@@ -66,12 +76,14 @@ def exact_percentile(
     name: str,
     p: float = 0.5,
     accuracy: int = 10_000,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Exact interpolated percentile per key, nulls ignored.
 
     ``percentile`` keeps every distinct value of a key in one buffer. Here a bounded sketch
     brackets the answer first; values are pre-counted, those below the bracket collapse to one
-    row per key, those above are dropped, and only the sliver inside is ordered.
+    row per key, those above are dropped, and only the sliver inside is ordered. ``few_groups``
+    promises that the keys take a handful of values, fixed by the caller.
     """
     keys = list(keys)
     column = F.col(value) if isinstance(value, str) else value
@@ -84,11 +96,11 @@ def exact_percentile(
         F.percentile_approx("__x", ends, accuracy).alias("__ends"),
         F.count(F.lit(1)).alias("__n"),
     )
-    # Over the whole table the sketch is one row, so rows meet it before any shuffle. Per key the
+    # A sketch of one row, or of a fixed handful, meets the rows before any shuffle. Otherwise the
     # values are counted first, which sends each task's distinct values on once.
     met = (
         x.groupBy(*group, "__x").agg(F.count(F.lit(1)).alias("__c")).join(sketch, group)
-        if keys
+        if keys and not few_groups
         else x.withColumn("__c", F.lit(1).cast("bigint")).join(F.broadcast(sketch), group)
     )
     small = F.col("__n") <= accuracy  # the bracket is counted in ranks, so few rows need none

@@ -52,19 +52,16 @@ def _gate_of(gates: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(g)) for g in gates])[F.col("slot") - 1]
 
 
-def gate_sweep(
-    observations: DataFrame, gates: Sequence[float] = GATES, digits: int | None = 4
-) -> DataFrame:
-    """gate, score: mean outcome when ``above`` is used at or over the gate, else ``below``.
-
-    Needs confidence, above, below. Scores are rounded half-even to ``digits`` places, as compared.
-    No observations score 0.0.
-    """
-    counted = observations.groupBy(slot(F.col("confidence"), gates).alias("slot")).agg(
+def _counted(observations: DataFrame, gates: Sequence[float], *by: str) -> DataFrame:
+    """Rows and sums per slot: the only pass over the observations."""
+    return observations.groupBy(*by, slot(F.col("confidence"), gates).alias("slot")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("above").alias("a"), F.sum("below").alias("b")
     )
-    # At most gates + 1 rows from here on.
-    rows = _every_slot(observations, gates).join(counted, "slot", "left").fillna(0)
+
+
+def _curve(counted: DataFrame, gates: Sequence[float], digits: int | None) -> DataFrame:
+    """gate, score from slot counts; at most gates + 1 rows."""
+    rows = _every_slot(counted, gates).join(counted.drop("split"), "slot", "left").fillna(0)
     order = Window.orderBy("slot")
     under = order.rowsBetween(Window.unboundedPreceding, -1)
     over = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -78,6 +75,17 @@ def gate_sweep(
     )
 
 
+def gate_sweep(
+    observations: DataFrame, gates: Sequence[float] = GATES, digits: int | None = 4
+) -> DataFrame:
+    """gate, score: mean outcome when ``above`` is used at or over the gate, else ``below``.
+
+    Needs confidence, above, below. Scores are rounded half-even to ``digits`` places, as
+    compared. No observations score 0.0.
+    """
+    return _curve(_counted(observations, gates), gates, digits)
+
+
 def best_gate(curve: DataFrame) -> DataFrame:
     """The first maximum: highest score, then lowest gate."""
     return curve.orderBy(F.col("score").desc(), "gate").limit(1)
@@ -119,23 +127,23 @@ def adopt_if_better(
     The fitted gate is used only when it beats the default on the held-out split. Needs split.
     Under ``least`` observations nothing is fitted.
     """
-    fitted = best_gate(gate_sweep(observations.where("split = 'fit'"), gates)).select(
-        F.col("gate").alias("best_gate"), F.col("score").alias("best_fit"), F.lit(1).alias("__one")
-    )
-    # The held-out curve is scored at every gate the fit could choose, in one pass.
-    held = gate_sweep(
-        observations.where("split = 'holdout'"), sorted({*gates, default}), digits=None
-    )
+    every = sorted({*gates, default})
+    counted = _counted(observations, every, "split")
+    part = lambda name: counted.where(F.col("split") == name)
+    one = F.lit(1).alias("__one")
+    tried = _curve(part("fit"), every, 4).where(F.col("gate").isin([float(g) for g in gates]))
+    fitted = best_gate(tried).select(F.col("gate").alias("best_gate"), F.col("score").alias("best_fit"), one)
+    held = _curve(part("holdout"), every, None)
     at_best = fitted.join(
-        held.select(F.col("gate").alias("best_gate"), F.col("score").alias("holdout_at_best")),
-        "best_gate",
+        held.select(F.col("gate").alias("best_gate"), F.col("score").alias("holdout_at_best")), "best_gate"
     )
     at_default = held.where(F.col("gate") == default).select(
-        F.col("score").alias("holdout_at_default"), F.lit(1).alias("__one")
+        F.col("score").alias("holdout_at_default"), one
     )
-    sizes = observations.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("split") == "fit").alias("fit"),
-        F.count_if(F.col("split") == "holdout").alias("holdout"), F.lit(1).alias("__one"),
+    size = lambda name: F.coalesce(F.sum(F.when(F.col("split") == name, F.col("n"))), F.lit(0))
+    sizes = counted.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), size("fit").alias("fit"),
+        size("holdout").alias("holdout"), one,
     )
     row = sizes.join(at_best, "__one", "left").join(at_default, "__one", "left").drop("__one")
     better = (F.col("n") >= least) & (F.col("holdout_at_best") > F.col("holdout_at_default"))

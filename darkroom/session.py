@@ -58,8 +58,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_dir(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    """Partition count for an explicit range shuffle: the session's shuffle setting."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
