@@ -46,11 +46,13 @@ def replace_rule(c: Column) -> Column:
 def background_rule(c: Column) -> Column:
     said = F.lower(text.clean_instruction(_group(c, fixed.BACKGROUND_TO, 1)))
     said = F.regexp_replace(F.regexp_replace(said, "^a ", ""), "^the ", "")
-    colour = text.named_colour(said)
-    return F.when(
-        _says(c, fixed.BACKGROUND_TO),
-        _intent("background", None, F.when(colour.isNull(), said), colour),
+    # One-element transforms give the backdrop and its colour a name, so each is worked out once.
+    found = F.transform(F.array(said), lambda s: F.struct(s.alias("s"), text.named_colour(s).alias("c")))
+    intent = F.transform(
+        found,
+        lambda f: _intent("background", None, F.when(f["c"].isNull(), f["s"]), f["c"]),
     )
+    return F.when(_says(c, fixed.BACKGROUND_TO), intent[0])
 
 
 def remove_rule(c: Column) -> Column:

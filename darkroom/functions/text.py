@@ -15,7 +15,7 @@ ANY_CASE = "(?iU)"
 
 def strip(c: Column) -> Column:
     """Whitespace off both ends, Unicode spaces included."""
-    return F.regexp_replace(c, UNICODE + r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(fixed.BLANK_CHARS))
 
 
 def collapse(c: Column) -> Column:
@@ -24,7 +24,7 @@ def collapse(c: Column) -> Column:
 
 def clean_instruction(c: Column) -> Column:
     """Drop the punctuation and politeness at both ends and collapse the spaces."""
-    bare = strip(F.regexp_replace(strip(c), r"^[.!?]+|[.!?]+$", ""))
+    bare = strip(F.btrim(strip(c), F.lit(fixed.CLOSING_CHARS)))
     bare = F.regexp_replace(bare, ANY_CASE + fixed.POLITE_START, "")
     return collapse(F.regexp_replace(bare, ANY_CASE + fixed.POLITE_END, ""))
 
@@ -43,8 +43,7 @@ def named_colour(c: Column) -> Column:
 
 def normalise_subject(c: Column) -> Column:
     """Lower case, one space, no closing punctuation, leading articles dropped once each."""
-    text = F.regexp_replace(strip(F.lower(c)), r"^[.!?]+|[.!?]+$", "")
-    text = collapse(text)
+    text = collapse(F.btrim(strip(F.lower(c)), F.lit(fixed.CLOSING_CHARS)))
     for article in fixed.SUBJECT_ARTICLES:
         text = F.regexp_replace(text, f"^{article}", "")
     return F.coalesce(text, F.lit(""))
@@ -52,7 +51,7 @@ def normalise_subject(c: Column) -> Column:
 
 def normalise_phrase(c: Column) -> Column:
     """Lower case, trimmed, ending in exactly one period; empty stays empty."""
-    text = strip(F.regexp_replace(F.lower(strip(c)), r"\.+$", ""))
+    text = strip(F.rtrim(F.lower(strip(c)), F.lit(".")))
     return F.when(text == "", F.lit("")).otherwise(F.concat(text, F.lit(".")))
 
 
