@@ -121,9 +121,9 @@ def ambiguity_report(candidates: DataFrame, key: str, k: int = fixed.CANDIDATES)
     return gains.select("*", one).join(half.select("*", one), "__one").drop("__one")
 
 
-def natural_top(names: DataFrame, name: str, n: int) -> DataFrame:
+def natural_top(names: DataFrame, name: str, n: int, *tie: str) -> DataFrame:
     """First ``n`` names by length, then alphabet, so that 2 sorts before 10."""
-    return names.orderBy(F.length(name), name).limit(n)
+    return names.orderBy(F.length(name), name, *tie).limit(n)
 
 
 def cap_per_group(parents: DataFrame, items: Column, n: int, name: str = "item") -> DataFrame:

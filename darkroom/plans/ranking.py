@@ -125,7 +125,7 @@ def _(spark, sf):
     names = table(spark, sf, "part").select(
         F.col("p_name").alias("name"), F.col("p_partkey").alias("id")
     )
-    return names.orderBy(F.length("name"), "name", "id").limit(50)
+    return ops.natural_top(names, "name", 50, "id")
 
 
 @plans.add("wn9_cap_per_group", """select vec_id, unnest([0, 1, 2, 3])::integer as place,
