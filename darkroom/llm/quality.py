@@ -12,7 +12,7 @@ SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 #: Each ratio in thousandths, and the least distance that counts as an outlier.
-RATIOS = {"word_size": 1000, "symbols": 60, "dup_lines": 150, "repeats": 150}
+RATIOS = {"word_size": 1000, "symbols": 60, "dup_lines": 350, "repeats": 300}
 GROUP = ["language", "origin"]
 
 

@@ -41,24 +41,34 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(np.array(self.cuts)[None, :] - scores[:, None], -50, 50)))
 
 
+def _telling(p1: float, p0: float, n1: int, n0: int) -> bool:
+    """Whether a feature is at least four times as frequent above grade 0, and not by chance."""
+    p = (p1 * n1 + p0 * n0) / (n1 + n0)
+    return p1 >= 4 * p0 and p1 - p0 >= 4 * (p * (1 - p) * (1 / n1 + 1 / n0)) ** 0.5
+
+
 def fit_ordinal(
-    texts: list[set[str]], grades: np.ndarray, least: int = 4, penalty: float = 1e-4, steps: int = 400, rate: float = 0.3
+    texts: list[set[str]], grades: np.ndarray, least: int = 4, penalty: float = 1e-4, steps: int = 400, rate: float = 0.2,
+    lean: float = 0.5,
 ) -> OrdinalModel:
     """Cumulative logits with a penalty on absolute weights, by proximal Adagrad.
 
     Of a text's features the number of different words that have each is used. Features of fewer
-    than ``least`` texts are left out. Grades are 0, 1, 2, ...; each weighs the same in all.
+    than ``least`` texts above grade 0, and those not clearly more frequent there, are left out. Grades are 0, 1, 2, ...; those above 0 weigh ``lean`` in all.
     """
-    held = Counter(f for words in texts for f in {f for w in words for f in features(w)})
-    names = sorted(f for f, n in held.items() if n >= least)
+    bad, good = Counter(), Counter()
+    for g, words in zip(grades.tolist(), texts, strict=True):
+        (bad if g else good).update({f for w in words for f in features(w)})
+    n1, n0 = max(int((grades > 0).sum()), 1), max(int((grades == 0).sum()), 1)
+    names = sorted(f for f, n in bad.items() if n >= least and _telling(n / n1, good[f] / n0, n1, n0))
     number = {f: i for i, f in enumerate(names)}
     rows = [Counter(number[f] for w in words for f in features(w) if f in number) for words in texts]
     col = np.fromiter((i for r in rows for i in r), np.int64)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     val = np.fromiter((np.sqrt(v) for r in rows for v in r.values()), float)
     top = int(grades.max())
-    share = np.bincount(grades, minlength=top + 1).astype(float)
-    weight = (1 / np.maximum(share, 1))[grades] / max((share > 0).sum(), 1)
+    above0 = max(int((grades > 0).sum()), 1)
+    weight = np.where(grades > 0, lean / above0, (1 - lean) / max(len(grades) - above0, 1))
     w, cuts = np.zeros(len(names)), np.linspace(-0.5, 0.5, top) if top > 1 else np.zeros(top)
     gw, gc = np.full(len(names), 1e-8), np.full(top, 1e-8)
     for _ in range(steps):
@@ -91,8 +101,8 @@ def fit_severity(
     """Fit on at most ``rows`` labelled rows of every grade, those whose ids hash smallest.
 
     ``grades`` has ids and grades, integers from 0. With only two of them, the upper one is parted
-    at the median of how large a share of a text's words occurs in the upper grade alone, so that
-    there are a mild and a severe grade. None without both a grade 0 and a higher one.
+    at the median number of words that occur in the upper grade alone, so that there are a mild
+    and a severe grade. None without both a grade 0 and a higher one.
     """
     named = grades.where(F.col(grade) >= 0).select(F.col(id).alias("gid"), F.col(grade).cast("int").alias("grade")).distinct()
     levels = sorted(r["grade"] for r in named.select("grade").distinct().limit(100).collect())
@@ -106,14 +116,17 @@ def fit_severity(
     if not len(grades) or grades.min() > 0 or grades.max() == 0:
         return None
     texts = [t for _, t in found]
-    if grades.max() == 1:
-        n1, n0 = Counter(), Counter()
-        for g, t in found:
-            (n1 if g else n0).update({f for w in t for f in features(w)})
-        marks = {f for f, n in n1.items() if n >= 4 and not n0[f]}
-        share = np.array([sum(any(f in marks for f in features(w)) for w in t) / max(len(t), 1) for t in texts])
-        grades = np.where((grades == 1) & (share > np.median(share[grades == 1])), 2, grades)
-    return fit_ordinal(texts, grades)
+    return fit_ordinal(texts, parted(texts, grades) if grades.max() == 1 else grades)
+
+
+def parted(texts: list[set[str]], grades: np.ndarray) -> np.ndarray:
+    """Grades 0, 1, 2 from flags: flagged texts of more than the median number of telling words are severe."""
+    n1, n0 = Counter(), Counter()
+    for g, t in zip(grades.tolist(), texts, strict=True):
+        (n1 if g else n0).update({f for w in t for f in features(w)})
+    marks = {f for f, n in n1.items() if n >= 4 and not n0[f]}
+    told = np.array([sum(any(f in marks for f in features(w)) for w in t) for t in texts])
+    return np.where((grades == 1) & (told > np.median(told[grades == 1])), 2, grades)
 
 
 def severity(
