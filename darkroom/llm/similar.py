@@ -11,6 +11,7 @@ from darkroom.llm.vocab import blocks
 from darkroom.llm.words import Words, mix, windows
 from darkroom.session import cut_lineage
 
+#: Fewest bits of a parity bitmap; longer sets have longer ones, see ``_bits``.
 BITS = 1024
 #: Queries against one indexed text that go to one task; more of them are dealt over several.
 PER_BLOCK = 4000
@@ -53,6 +54,17 @@ def least_overlap(a, b, share):
     return -((-num * (a + b)) // (num + den))
 
 
+def common(n):
+    """How many prefix shingles similar sets have in common at least; the prefix is as much longer."""
+    return 1 + n // 100
+
+
+def _bits(n: int, share: tuple[int, int]) -> int:
+    """Bits of a set's bitmap: well over twice the number of shingles that may differ."""
+    num, den = share
+    return max(BITS, 1 << (26 * 2 * n * (den - num) // (10 * (den + num))).bit_length())
+
+
 def _sets(rows: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
     """Per text its number of shingles, two keys of the set, its prefix and a bitmap of parities.
 
@@ -67,15 +79,16 @@ def _sets(rows: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
         for ids, hashes, texts in blocks(batches, "id", "row_hash", "text", most=2_000_000):
             s = Shingles(texts, k)
             order = np.lexsort((s.h, -s.size, s.owner))
-            long = s.n - (-(-num * s.n // den)) + np.minimum(s.n, 1)
+            long = s.n - (-(-num * s.n // den)) + np.where(s.n > 0, common(s.n), 0)
             rank = np.arange(len(order)) - s.first[s.owner]
             picked = order[rank < long[s.owner]]
-            bit = (mix(s.h ^ np.uint64(0x51ED270B)) & np.uint64(BITS - 1)).astype(np.int64)
+            bit = mix(s.h ^ np.uint64(0x51ED270B))
             out = []
-            for i in range(0, len(texts), 256):
-                mine = slice(s.first[i], s.first[min(i + 256, len(texts))])
-                held = np.bincount((s.owner[mine] - i) * BITS + bit[mine], minlength=min(256, len(texts) - i) * BITS)
-                out += [bytes(x) for x in np.packbits((held & 1).astype(np.uint8).reshape(-1, BITS), axis=1)]
+            for i, n in enumerate(s.n.tolist()):
+                width = _bits(n, share)
+                mine = (bit[s.first[i]:s.first[i + 1]] & np.uint64(width - 1)).astype(np.int64)
+                held = np.bincount(mine, minlength=width) & 1
+                out.append(np.packbits(held.astype(np.uint8), bitorder="little").tobytes())
             offsets = np.concatenate([[0], np.cumsum(long)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(s.h[picked].view(np.int64)))
             yield pa.RecordBatch.from_arrays([
@@ -91,89 +104,126 @@ def _pairs(lists: DataFrame, share: tuple[int, int], across: bool) -> DataFrame:
 
     Sizes and bitmaps rule out most pairs. With ``across`` false, every set is paired with one
     earlier set of its list, so a list of near copies gives as many pairs as it has members. With
-    ``across`` true, all possible pairs of different groups are given.
+    ``across`` true, all possible pairs of different groups are given that have enough prefix
+    shingles in common.
     """
-    num, den = share
-
     def run(batches):
         import pyarrow as pa
 
-        def table(x, y):
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)), pa.array(np.concatenate(y))], ["x", "y"])
-
-        for s, n, bits, group in _lists(batches):
-            xs, ys = [], []
-            pivots: list[int] = []
-            for a in range(0, len(s), 128):
-                mine = np.arange(a, min(a + 128, len(s)))
-                if not across:
-                    # against the sets that stand for themselves, then the rest of the block one by one
-                    old = np.array(pivots, dtype=np.int64)
-                    best = _nearest(mine, old, n, bits, share) if len(old) else np.full(len(mine), -1)
-                    fresh: list[int] = []
-                    for j, b in zip(mine, best, strict=True):
-                        if b < 0 and fresh:
-                            b = _nearest(np.array([j]), np.array(fresh), n, bits, share)[0]
-                        if b < 0:
-                            fresh.append(j)
-                        else:
-                            xs.append(s[j:j + 1])
-                            ys.append(s[b:b + 1])
-                    pivots += fresh
-                    low = n[min(a + 128, len(s)) - 1] * num / den
-                    pivots = [p for p in pivots if n[p] >= low - 1]
-                else:
-                    first = int(np.searchsorted(n, n[a] * num / den - 1))
-                    near = np.arange(first, mine[-1] + 1)
-                    ok = _possible(mine, near, n, bits, share) & (near[None, :] < mine[:, None]) & (group[near][None, :] != group[mine][:, None])
-                    i, j = np.nonzero(ok)
-                    if len(i):
-                        xs.append(s[mine[i]])
-                        ys.append(s[near[j]])
-                if sum(map(len, xs)) > 20_000:
-                    yield table(xs, ys)
-                    xs, ys = [], []
-            if xs:
-                yield table(xs, ys)
-
-    return lists.mapInArrow(run, "x long, y long").distinct()
+        def table(out):
+            return pa.RecordBatch.from_arrays([pa.array([v[k] for v in out], pa.int64()) for k in range(3)], ["x", "y", "need"])
+
+        out = []
+        for held in _lists(batches):
+            held = _List(held, share)
+            for i, j in held.across() if across else held.stars():
+                out.append((held.s[i], held.s[j], int(common(min(held.n[i], held.n[j])))))
+                if len(out) >= 20_000:
+                    yield table(out)
+                    out = []
+        if out:
+            yield table(out)
+
+    found = lists.mapInArrow(run, "x long, y long, need long")
+    if not across:
+        return found.select("x", "y").distinct()
+    return found.groupBy("x", "y").agg(F.count(F.lit(1)).alias("many"), F.max("need").alias("need")).where("many >= need").select("x", "y")
 
 
 def _lists(batches):
-    """The lists of a partition sorted by shingle and size: sets, sizes, bitmaps and groups."""
+    """The lists of a partition sorted by shingle and size, as columns s, n, bits, group."""
     held, last = [], None
     for batch in batches:
         tok = batch.column("tok").to_numpy()
-        cuts = np.concatenate([[0], np.flatnonzero(tok[1:] != tok[:-1]) + 1, [len(tok)]]) if len(tok) else [0]
+        cuts = np.concatenate([[0], np.flatnonzero(tok[1:] != tok[:-1]) + 1, [len(tok)]]).tolist() if len(tok) else [0]
+        columns = [batch.column(c).to_pylist() for c in ("s", "n", "bits", "group")]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if held and tok[a] != last:
-                yield _joined(held)
+                yield held
                 held = []
-            held.append(batch.slice(a, b - a))
+            part = [c[a:b] for c in columns]
+            held = [x + y for x, y in zip(held, part, strict=True)] if held else part
             last = tok[a]
     if held:
-        yield _joined(held)
-
-
-def _joined(parts):
-    take = lambda c: np.concatenate([p.column(c).to_numpy() for p in parts])
-    bits = b"".join(x for p in parts for x in p.column("bits").to_pylist())
-    return take("s"), take("n").astype(np.int64), np.frombuffer(bits, np.uint64).reshape(-1, BITS // 64), take("group")
-
-
-def _possible(x, y, n, bits, share):
-    """Whether sizes and parities allow each of ``x`` to be similar to each of ``y``."""
-    a, b = n[x][:, None], n[y][None, :]
-    room = a + b - 2 * least_overlap(a, b, share)
-    apart = np.zeros((len(x), len(y)), dtype=np.int64)
-    for w in range(bits.shape[1]):
-        apart += np.bitwise_count(bits[x, w][:, None] ^ bits[y, w][None, :])
-    return (apart <= room) & (share[1] * np.minimum(a, b) >= share[0] * np.maximum(a, b))
-
-
-def _nearest(x, y, n, bits, share):
-    ok = _possible(x, y, n, bits, share)
-    return np.where(ok.any(1), y[ok.argmax(1)], -1)
+        yield held
+
+
+class _List:
+    """One list of sets in ascending order of size."""
+
+    def __init__(self, held: list[list], share: tuple[int, int]) -> None:
+        self.s, self.n, self.raw, self.group = held
+        self.share = share
+        self.big = [int.from_bytes(x, "little") for x in self.raw]
+        self.base = None
+
+    def possible(self, i: int, j: int) -> bool:
+        """Whether sizes and parities allow sets ``i`` and ``j`` to be similar."""
+        a, b = self.n[i], self.n[j]
+        num, den = self.share
+        if den * min(a, b) < num * max(a, b):
+            return False
+        x, y, wx, wy = self.big[i], self.big[j], 8 * len(self.raw[i]), 8 * len(self.raw[j])
+        while wx > wy:
+            wx //= 2
+            x = (x >> wx) ^ (x & (1 << wx) - 1)
+        while wy > wx:
+            wy //= 2
+            y = (y >> wy) ^ (y & (1 << wy) - 1)
+        return (x ^ y).bit_count() <= a + b - 2 * least_overlap(a, b, self.share)
+
+    def near(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The same for many pairs at once on bitmaps folded to the fewest bits, so with more allowed."""
+        if self.base is None:
+            rows = []
+            for raw in self.raw:
+                row = np.frombuffer(raw, np.uint64)
+                while len(row) > BITS // 64:
+                    row = row[:len(row) // 2] ^ row[len(row) // 2:]
+                rows.append(row)
+            self.base, self.size = np.stack(rows), np.array(self.n, dtype=np.int64)
+        a, b = self.size[x][:, None], self.size[y][None, :]
+        apart = np.zeros((len(x), len(y)), dtype=np.int64)
+        for w in range(self.base.shape[1]):
+            apart += np.bitwise_count(self.base[x, w][:, None] ^ self.base[y, w][None, :])
+        return (apart <= a + b - 2 * least_overlap(a, b, self.share)) & (self.share[1] * np.minimum(a, b) >= self.share[0] * np.maximum(a, b))
+
+    def stars(self):
+        """(member, earlier member) once for every member that may be similar to one standing for itself."""
+        alone: list[int] = []
+        many = len(self.s) > 12
+        for a in range(0, len(self.s), 128):
+            block = range(a, min(a + 128, len(self.s)))
+            low = self.n[a] * self.share[0] // self.share[1] - 1
+            alone = [p for p in alone if self.n[p] >= low]
+            fresh: set[int] = set()
+            if many:
+                pool = np.array(alone + list(block))
+                ok = self.near(np.array(block), pool)
+            for k, i in enumerate(block):
+                maybe = [j for j in pool[np.flatnonzero(ok[k])].tolist() if j < a or j in fresh] if many else alone
+                j = next((j for j in maybe if self.possible(i, j)), None)
+                if j is None:
+                    alone.append(i)
+                    fresh.add(i)
+                else:
+                    yield i, j
+
+    def across(self):
+        """All (member, earlier member) of different groups that may be similar."""
+        if self.group.count(self.group[0]) == len(self.group):
+            return
+        many = len(self.s) > 12
+        for i in range(len(self.s)):
+            if many and i % 128 == 0:
+                block = np.arange(i, min(i + 128, len(self.s)))
+                first = int(np.searchsorted(self.n, self.n[i] * self.share[0] // self.share[1] - 1))
+                pool = np.arange(first, block[-1] + 1)
+                ok = self.near(block, pool)
+            maybe = pool[np.flatnonzero(ok[i % 128])].tolist() if many else range(i)
+            for j in maybe:
+                if j < i and self.group[i] != self.group[j] and self.possible(i, j):
+                    yield i, j
 
 
 class Index:
@@ -197,8 +247,7 @@ class Index:
         in every long list by binary search.
         """
         at = np.searchsorted(self.token, tokens)
-        at = at[at < len(self.token)] if len(at) else at
-        at = at[np.isin(self.token[at], tokens, assume_unique=True)]
+        at = at[self.token[np.minimum(at, len(self.token) - 1)] == tokens]
         need = -(-share[0] * len(tokens) // share[1])
         if len(at) < need:
             return self.names[:0]
@@ -224,7 +273,7 @@ class Index:
 def _links(pairs: DataFrame, sets: DataFrame, rows: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
     """The links among texts that ``pairs`` names, checked on their whole shingle sets.
 
-    The later text of every pair is indexed, the earlier one is searched for. Indexed texts are
+    The second text of every pair is indexed, the first one is searched for. Indexed texts are
     dealt into blocks; one that very many others ask for has several blocks of its own. A task
     gives back only links that join something, so near copies give as many links as texts.
     """
@@ -240,7 +289,7 @@ def _links(pairs: DataFrame, sets: DataFrame, rows: DataFrame, k: int, share: tu
         dealt.select("block", F.col("x").alias("s"), F.lit(1).alias("role")).distinct()
     )
     # a set's text is found by id and hash; rows that repeat both come twice, which changes nothing
-    wanted = ends.join(sets.select("s", "id", "row_hash"), "s")
+    wanted = cut_lineage(ends.join(sets.select("s", "id", "row_hash"), "s"))
     filled = wanted.join(
         rows.select(F.coalesce("id", F.lit(NO_ID)).alias("tid"), F.col("row_hash").alias("trow"), "text"),
         (F.coalesce("id", F.lit(NO_ID)) == F.col("tid")) & (F.col("row_hash") == F.col("trow")),
@@ -333,17 +382,17 @@ def similar_instructions(
     ).select("*", F.col("top.id").alias("id"), F.monotonically_increasing_id().alias("s")))
     listed = sets.select("s", "n", F.explode("prefix").alias("tok"))
     shared = cut_lineage(listed.withColumn("many", F.count(F.lit(1)).over(W.partitionBy("tok"))).where("many > 1").drop("many"))
-    filled = shared.join(sets.select("s", "bits"), "s")
-
-    def lists(groups: DataFrame | None) -> DataFrame:
-        with_group = filled.withColumn("group", F.col("s")) if groups is None else filled.join(groups, "s", "left").withColumn(
-            "group", F.coalesce("group", "s"))
-        return with_group.repartition("tok").sortWithinPartitions("tok", "n", "s")
+    def lists(members: DataFrame) -> DataFrame:
+        return members.join(sets.select("s", "bits"), "s").repartition("tok").sortWithinPartitions("tok", "n", "s")
 
-    pairs = cut_lineage(_pairs(lists(None), share, across=False))
+    pairs = cut_lineage(_pairs(lists(shared.withColumn("group", F.col("s"))), share, across=False))
     links = _links(pairs, sets, rows, words, share)
     groups = _groups(links)
-    more = cut_lineage(_pairs(lists(groups), share, across=True).join(pairs, ["x", "y"], "left_anti"))
+    # lists all of whose members are in one group by now have nothing to add
+    grouped = shared.join(groups, "s", "left").withColumn("group", F.coalesce("group", "s"))
+    by_tok = W.partitionBy("tok")
+    apart = grouped.select("*", (F.min("group").over(by_tok) != F.max("group").over(by_tok)).alias("apart")).where("apart").drop("apart")
+    more = cut_lineage(_pairs(lists(apart), share, across=True).join(pairs, ["x", "y"], "left_anti"))
     if not more.isEmpty():
         groups = _groups(links.unionByName(_links(more, sets, rows, words, share)))
     named = sets.join(groups, "s", "left").withColumn("group", F.coalesce("group", "s"))
