@@ -331,22 +331,38 @@ def _links(pairs: DataFrame, sets: DataFrame, rows: DataFrame, k: int, share: tu
     return cut_lineage(filled.repartition("block").sortWithinPartitions("block", "role", "s").mapInArrow(run, "x long, y long").distinct())
 
 
+def _renamed(links: DataFrame, names: DataFrame) -> DataFrame:
+    """``links`` between what ``names`` (s, group) calls their ends; links within a group vanish."""
+    for end in ("x", "y"):
+        links = links.join(names.withColumnsRenamed({"s": end, "group": "to"}), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    return links.where("x <> y").distinct()
+
+
 def _groups(links: DataFrame) -> DataFrame:
-    """``s, group``: the smallest set reachable from every set that has a link."""
-    both = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    both = cut_lineage(both)
-    label = cut_lineage(both.groupBy(F.col("x").alias("s")).agg(F.min(F.least("x", "y")).alias("group")))
+    """``s, group``: the group of every set that has a link.
+
+    Every set points to its smallest neighbour if that is smaller; pointers are followed to their
+    ends, halving the way each time; then the links are contracted to the groups so found, and
+    what is left goes round again. Links shrink by at least half a round, so both loops are short.
+    """
+    names, left = None, links.where("x <> y").distinct()
     while True:
-        seen = both.join(label.withColumnsRenamed({"s": "y"}), "y").groupBy(F.col("x").alias("s")).agg(F.min("group").alias("near"))
-        step = label.join(seen, "s").select("s", F.least("group", "near").alias("next"), "group")
-        # the group of my group: halves the way to the smallest one each time
-        jump = step.select(F.col("s").alias("next"), F.col("next").alias("far"))
-        new = cut_lineage(step.join(jump, "next", "left").select(
-            "s", F.coalesce(F.least("far", "next"), "next").alias("group"), (F.least("far", "next") < F.col("group")).alias("moved")
-        ))
-        if new.where("moved").isEmpty():
-            return new.select("s", "group")
-        label = new.select("s", "group")
+        both = left.unionByName(left.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        up = cut_lineage(both.groupBy(F.col("x").alias("s")).agg(F.min(F.least("x", "y")).alias("group")))
+        while True:
+            higher = up.select(F.col("s").alias("group"), F.col("group").alias("top"))
+            jumped = cut_lineage(up.join(higher, "group").select("s", F.col("top").alias("group"), (F.col("top") < F.col("group")).alias("moved")))
+            up = jumped.select("s", "group")
+            if jumped.where("moved").isEmpty():
+                break
+        if names is None:
+            names = up
+        else:
+            named = names.join(up.withColumnsRenamed({"s": "group", "group": "top"}), "group", "left")
+            names = cut_lineage(named.select("s", F.coalesce("top", "group").alias("group")))
+        left = cut_lineage(_renamed(left, up))
+        if left.isEmpty():
+            return names
 
 
 def similar_instructions(
@@ -394,8 +410,12 @@ def similar_instructions(
     apart = grouped.select("*", (F.min("group").over(by_tok) != F.max("group").over(by_tok)).alias("apart")).where("apart").drop("apart")
     more = cut_lineage(_pairs(lists(apart), share, across=True).join(pairs, ["x", "y"], "left_anti"))
     if not more.isEmpty():
-        groups = _groups(links.unionByName(_links(more, sets, rows, words, share)))
-    named = sets.join(groups, "s", "left").withColumn("group", F.coalesce("group", "s"))
+        merged = _groups(_renamed(_links(more, sets, rows, words, share), groups))
+        named = sets.join(groups, "s", "left").withColumn("group", F.coalesce("group", "s"))
+        named = named.join(merged.withColumnsRenamed({"s": "group", "group": "top_group"}), "group", "left")
+        named = named.withColumn("group", F.coalesce("top_group", "group"))
+    else:
+        named = sets.join(groups, "s", "left").withColumn("group", F.coalesce("group", "s"))
     tops = named.groupBy("group").agg(F.min("top").alias("top"))
     answer = named.select(*key, "group").join(tops, "group").select(*key, "top")
     with_set = docs.where("n > 0").select("id", "row_hash", "row", *key).join(answer, key)
