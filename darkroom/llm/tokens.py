@@ -30,22 +30,29 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, rounds: int = 4
         if len(seq) < 2:
             break
         top = vocabulary + len(rules)
+        inside = owner[:-1] == owner[1:]
         pair = seq[:-1] * top + seq[1:]
-        pair[owner[:-1] != owner[1:]] = -1
-        ordered = np.sort(pair)
-        starts = np.flatnonzero(np.diff(ordered, prepend=-2))
+        ordered = np.sort(pair[inside].astype(np.uint32) if top < 1 << 16 else pair[inside])
+        new = np.ones(len(ordered), bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        starts = np.flatnonzero(new)
         count = np.diff(starts, append=len(ordered))
-        good = np.flatnonzero((count >= least) & (ordered[starts] >= 0))
-        if not len(good):
+        starts, count = starts[count >= least], count[count >= least]
+        if not len(starts):
             break
-        good = good[np.lexsort((ordered[starts[good]], -count[good]))][:batch]
-        chosen = np.sort(ordered[starts[good]])
-        place = np.searchsorted(chosen, pair)
-        place[place == len(chosen)] = 0
-        hit = np.flatnonzero(chosen[place] == pair)
+        names = ordered[starts].astype(np.int64)
+        chosen = np.sort(names[np.lexsort((names, -count))][:batch])
+        # few symbols begin a chosen pair; only behind those a pair is looked up
+        leads = np.zeros(top, bool)
+        leads[chosen // top] = True
+        hit = np.flatnonzero(leads[seq[:-1]] & inside)
+        place = np.searchsorted(chosen, pair[hit]).clip(max=len(chosen) - 1)
+        fits = chosen[place] == pair[hit]
+        hit, place = hit[fits], place[fits]
         run = np.maximum.accumulate(np.where(np.diff(hit, prepend=-2) != 1, np.arange(len(hit)), 0))
-        hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
-        seq[hit] = top + place[hit]
+        free = (np.arange(len(hit)) - run) % 2 == 0
+        hit, place = hit[free], place[free]
+        seq[hit] = top + place
         keep = np.ones(len(seq), dtype=bool)
         keep[hit + 1] = False
         seq, owner = seq[keep], owner[keep]

@@ -1,29 +1,35 @@
 """Token ids of texts, with one cache per Python worker.
 
 Encoding is split where the tokenizer splits anyway: before a single space between two visible
-characters. Every distinct stretch goes through the ``tokenizers`` library once and is remembered;
-texts with other white space next to a space are encoded whole.
+characters. Every distinct stretch goes through the ``tokenizers`` library and is remembered for a
+while; texts with other white space next to a space are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
-#: Stretches remembered by one worker; beyond that it starts anew.
-REMEMBERED = 300_000
-_BESIDE = re.compile(r" \s|\s ")
+#: Stretches in one worker's young cache; when it is full it becomes the old one.
+REMEMBERED = 200_000
+#: Stretches that the library sees in one text.
+TOGETHER = 2_000
 
 
 class Encoder:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        #: None stands for a stretch that is empty or has white space at an end.
+        self.young: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
+        # a byte-level vocabulary spells every byte as one character, so an id's length is its bytes
+        self.sizes = np.zeros(self.model.get_vocab_size(), np.int64)
+        for token, i in self.model.get_vocab().items():
+            self.sizes[i] = len(token)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -31,31 +37,61 @@ class Encoder:
         done = self.model.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in done]
 
+    def _learn(self, words: list[str]) -> None:
+        """Encode new stretches, each with the space before it, many in one text."""
+        import numpy as np
+
+        known = self.young
+        plain = []
+        for w in words:
+            if not w or w[0].isspace() or w[-1].isspace():
+                known[w] = None
+            else:
+                plain.append(w)
+        for i in range(0, len(plain), TOGETHER):
+            some = plain[i:i + TOGETHER]
+            ids = np.array(self.model.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            upto = np.cumsum(self.sizes[ids])
+            ends = np.cumsum([len(w.encode()) + 1 for w in some])
+            cuts = np.searchsorted(upto, ends)
+            if len(ids) == 0 or (upto[cuts.clip(max=len(ids) - 1)] != ends).any():  # never, unless the vocabulary parts otherwise
+                known.update(zip(some, self._library([" " + w for w in some]), strict=True))
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, c in zip(some, (4 * (cuts + 1)).tolist(), strict=True):
+                known[w] = raw[at:c]
+                at = c
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of every text as little-endian unsigned 32-bit integers; a null is empty."""
-        if len(self.first) + len(self.later) > REMEMBERED:
-            self.first, self.later = {}, {}
-        parts: list[list[str] | None] = []
-        first, later, whole = set(), set(), []
-        for i, text in enumerate(texts):
-            text = text or ""
-            if not text or text[0].isspace() or text[-1].isspace() or _BESIDE.search(text):
-                parts.append(None)
-                whole.append(i)
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        parts = [t.split(" ") if t else None for t in texts]
+        new = set()
+        for words in parts:
+            if words is not None:
+                for w in words[1:]:
+                    if w not in young:
+                        if w in old:
+                            young[w] = old[w]
+                        else:
+                            new.add(w)
+        self._learn(list(new))
+        heads = {w[0] for w in parts if w is not None}
+        first = dict(zip(heads, self._library(list(heads)), strict=True))
+        out: list[bytes] = []
+        for text, words in zip(texts, parts, strict=True):
+            if words is None:
+                out.append(b"")
+                continue
+            found = [young[w] for w in words[1:]]
+            head = words[0]
+            if None in found or not head or head[-1].isspace():
+                out.append(self._library([text])[0])
             else:
-                words = text.split(" ")
-                parts.append(words)
-                first.add(words[0])
-                later.update(words[1:])
-        for known, new, lead in ((self.first, first, ""), (self.later, later, " ")):
-            missing = [w for w in new if w not in known]
-            known.update(zip(missing, self._library([lead + w for w in missing]), strict=True))
-        direct = dict(zip(whole, self._library([texts[i] or "" for i in whole]), strict=True))
-        known = self.later
-        return [
-            direct[i] if words is None else self.first[words[0]] + b"".join([known[w] for w in words[1:]])
-            for i, words in enumerate(parts)
-        ]
+                out.append(first[head] + b"".join(found))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
