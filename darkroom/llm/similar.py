@@ -358,7 +358,7 @@ def _groups(links: DataFrame) -> DataFrame:
         if names is None:
             names = up
         else:
-            named = names.join(up.withColumnsRenamed({"s": "group", "group": "top"}), "group", "left")
+            named = names.join(up.select(F.col("s").alias("group"), F.col("group").alias("top")), "group", "left")
             names = cut_lineage(named.select("s", F.coalesce("top", "group").alias("group")))
         left = cut_lineage(_renamed(left, up))
         if left.isEmpty():
@@ -412,7 +412,7 @@ def similar_instructions(
     if not more.isEmpty():
         merged = _groups(_renamed(_links(more, sets, rows, words, share), groups))
         named = sets.join(groups, "s", "left").withColumn("group", F.coalesce("group", "s"))
-        named = named.join(merged.withColumnsRenamed({"s": "group", "group": "top_group"}), "group", "left")
+        named = named.join(merged.select(F.col("s").alias("group"), F.col("group").alias("top_group")), "group", "left")
         named = named.withColumn("group", F.coalesce("top_group", "group"))
     else:
         named = sets.join(groups, "s", "left").withColumn("group", F.coalesce("group", "s"))
