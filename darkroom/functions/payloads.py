@@ -23,10 +23,13 @@ def redact(json: Column, depth: int = 3) -> Column:
     """JSON text with the values of suspicious names hidden, at every level.
 
     Items of a list are judged by the list's name, objects by their own names. Containers
-    nested more than ``depth`` levels down are hidden whole rather than passed unseen. The text
+    nested more than ``depth`` levels down are hidden whole rather than passed unseen, and so is a
+    text that is no JSON or names a field twice. The text
     is parsed once; an object's names come out in alphabetical order.
     """
-    return _redacted(F.parse_json(json), depth)
+    parsed = F.try_parse_json(json)
+    hidden = F.lit(f'"{fixed.REDACTED}"')
+    return F.when(json.isNotNull() & parsed.isNull(), hidden).otherwise(_redacted(parsed, depth))
 
 
 def _redacted(value: Column, depth: int) -> Column:

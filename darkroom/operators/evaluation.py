@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from darkroom.functions import fixed, policy
-from darkroom.operators.ordered import BLOCK_ROWS, by_sequence, scan
+from darkroom.operators.ordered import BLOCK_ROWS, by_sequence, join_null_safe, scan
 from darkroom.operators.ranks import exact_percentile, exact_percentiles, ordinal_rank
 
 
@@ -318,13 +318,15 @@ def rank_variants(results: DataFrame, case: str) -> DataFrame:
     """Position of each variant: best IoU first, cheaper first on ties, shared when equal."""
     # Positions in one whole-table order; a shared rank is the first position of equal variants,
     # counted from the first position of the case. No case is ordered in one task.
-    placed = ordinal_rank(results, [case, F.col("iou").desc(), "cost"], "__at")
-    first = placed.groupBy(case, "iou", "cost").agg(F.min("__at").alias("__first"))
+    # A missing IoU counts as 0. Null cases and costs are values like others.
+    scored = results.withColumn("__iou", F.coalesce("iou", F.lit(0.0)))
+    placed = ordinal_rank(scored, [case, F.col("__iou").desc(), "cost"], "__at")
+    first = placed.groupBy(case, "__iou", "cost").agg(F.min("__at").alias("__first"))
     start = first.groupBy(case).agg(F.min("__first").alias("__start"))
-    ranked = first.join(start, case).select(
-        case, "iou", "cost", (F.col("__first") - F.col("__start") + 1).alias("rank")
+    ranked = join_null_safe(first, start, [case]).select(
+        case, "__iou", "cost", (F.col("__first") - F.col("__start") + 1).alias("rank")
     )
-    return placed.drop("__at").join(ranked, [case, "iou", "cost"])
+    return join_null_safe(placed.drop("__at"), ranked, [case, "__iou", "cost"]).drop("__iou")
 
 
 def changed_fraction(

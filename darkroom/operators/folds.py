@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from darkroom.functions import fixed
-from darkroom.operators.ordered import mark_heavy
+from darkroom.operators.ordered import join_null_safe, mark_heavy
 
 Arrays = dict[str, np.ndarray]
 DEFAULT_ROWS = 1 << 20
@@ -92,7 +92,7 @@ def fold(
     timed = df.withColumn("__bucket", F.floor(F.col("t") / int(bucket_seconds * 1_000_000)))
     marked = mark_heavy(timed, [key], rows)
     heavy = marked.where("__heavy")
-    dense = heavy.join(_blocks(heavy, key, "__bucket", rows), [key, "__bucket"])
+    dense = join_null_safe(heavy, _blocks(heavy, key, "__bucket", rows), [key, "__bucket"])
 
     def in_order(frame: DataFrame) -> DataFrame:
         return frame.repartition(*by_key_and_block).sortWithinPartitions(*by_key_and_block, *order)
@@ -155,7 +155,7 @@ def fold(
         F.lit(None).cast("array<bigint>").alias("__entry"),
     )
     tagged = light.unionByName(
-        dense.join(entries, by_key_and_block).select(*df.columns, "__block", "__entry")
+        join_null_safe(dense, entries, by_key_and_block).select(*df.columns, "__block", "__entry")
     )
     return in_order(tagged).mapInPandas(replayed, f"{kept}, {added}")
 

@@ -138,7 +138,7 @@ def upsert_jobs(current: DataFrame, incoming: DataFrame, seq: str) -> tuple[Data
     """(jobs after the saves, rejected saves).
 
     Saves apply in ``seq`` order. A job belongs to whoever holds it, or else to whoever saved
-    it first; another owner's save is rejected. The last accepted save replaces the row.
+    it first; another owner's save, or an unnamed one, is rejected. The last accepted save replaces the row.
     """
     fields = [c for c in current.columns if c not in ("id", "user_id")]
     claim = incoming.groupBy("id").agg(F.min_by("user_id", seq).alias("__first"))
@@ -146,9 +146,9 @@ def upsert_jobs(current: DataFrame, incoming: DataFrame, seq: str) -> tuple[Data
         current.select("id", F.col("user_id").alias("__holder")), "id", "left"
     ).select("id", F.coalesce("__holder", "__first").alias("__owner"))
     judged = incoming.join(owners, "id")
-    rejected = judged.where(F.col("user_id") != F.col("__owner")).drop("__owner")
+    rejected = judged.where(~F.col("user_id").eqNullSafe(F.col("__owner"))).drop("__owner")
     saved = (
-        judged.where(F.col("user_id") == F.col("__owner"))
+        judged.where(F.col("user_id").eqNullSafe(F.col("__owner")))
         .groupBy("id")
         .agg(F.max_by(F.struct("user_id", *fields), F.col(seq)).alias("__new"))
     )

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 BLOCK = "__block"
 BLOCK_ROWS = 1 << 20
-HEAVY_LIMIT = 10_000
 
 
 def by_sequence(column: str, rows: int = BLOCK_ROWS) -> Column:
@@ -32,18 +31,23 @@ def by_time(column: str, seconds: float) -> Column:
 def mark_heavy(df: DataFrame, keys: Sequence[str], rows: int = BLOCK_ROWS) -> DataFrame:
     """Add ``__heavy``: true on rows of keys with more than ``rows`` rows, null elsewhere.
 
-    Keys are counted by hash, combined on the map side. What is broadcast is at most
-    ``HEAVY_LIMIT`` hashes, the heaviest; a key left out holds under 1 / HEAVY_LIMIT of the table
-    and is handled whole.
+    Keys are counted by hash, combined on the map side. Every such key is marked, however many
+    there are; Spark chooses the join by the size of their list.
     """
     hashed = F.xxhash64(*keys)
     heavy = (
         df.groupBy(hashed.alias("__h")).agg(F.count(F.lit(1)).alias("__n"))
         .where(F.col("__n") > rows)
-        .orderBy(F.col("__n").desc(), "__h").limit(HEAVY_LIMIT)
         .select("__h", F.lit(True).alias("__heavy"))
     )
-    return df.withColumn("__h", hashed).join(F.broadcast(heavy), "__h", "left").drop("__h")
+    return df.withColumn("__h", hashed).join(heavy, "__h", "left").drop("__h")
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """``left`` with ``right``'s other columns; null keys match null keys."""
+    named = right.withColumnsRenamed({c: f"__on_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"__on_{c}")) for c in on]
+    return left.join(named, same, how).drop(*[f"__on_{c}" for c in on])
 
 
 def scan(
@@ -109,10 +113,7 @@ def scan(
         **{n: F.sum(given(n)).over(upto) for n in running_sum},
         **{n: F.last(given(n), ignorenulls=True).over(upto) for n in last_value},
     }
-    # The windowed side is already partitioned and sorted by (keys, block) for this join.
-    joined = base.withColumns({f"__l_{n}": e for n, e in local.items()}).join(
-        carry, [*keys, BLOCK], "left"
-    )
+    joined = join_null_safe(base.withColumns({f"__l_{n}": e for n, e in local.items()}), carry, [*keys, BLOCK], "left")
     mine, came = (lambda n: F.col(f"__l_{n}")), (lambda n: F.col(f"__c_{n}"))
     out = {n: F.coalesce(mine(n), came(n))["v"] for n in [*previous, *following]}
     out |= {n: F.coalesce(mine(n) + came(n), mine(n), came(n)) for n in running_sum}
