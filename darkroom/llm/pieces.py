@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from darkroom.llm.vocab import blocks
 
 SPACE = "▁"
-#: Stretches remembered by one worker; beyond that it starts anew.
-REMEMBERED = 250_000
+#: Stretches in one worker's young cache; when it is full it becomes the old one.
+REMEMBERED = 200_000
 
 
 class Pieces:
@@ -34,25 +35,28 @@ class Pieces:
         self.text = [sp.id_to_piece(i) for i in every]
         plain = [i for i in every if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.ids = {self.text[i]: i for i in plain}
-        self.score = {self.text[i]: sp.get_score(i) for i in plain}
+        #: Of every piece its score with the sign changed, so that the best one is the smallest.
+        self.cost = {self.text[i]: -sp.get_score(i) for i in plain}
         self.bytes = {int(self.text[i][3:5], 16): i for i in every if sp.is_byte(i)}
         self.unknown = sp.unk_id()
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece crosses the start of a word; words can't be encoded on their own")
         if any(sp.is_unused(i) for i in every):
             raise ValueError("vocabularies with unused pieces are not handled")
-        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+        #: Ids of stretches, named without the space mark in front.
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def agenda(self, stretch: str) -> list[int]:
         """The ids of a stretch whose spaces are space marks already."""
         part: list[str] = list(stretch)
         n = len(part)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        score, heap = self.score, []
+        cost, push, heap = self.cost.get, heapq.heappush, []
         for i in range(n - 1):
             both = part[i] + part[i + 1]
-            if both in score:
-                heap.append((-score[both], i, both))
+            if (worth := cost(both)) is not None:
+                heap.append((worth, i, both))
         heapq.heapify(heap)
         while heap:
             _, i, both = heapq.heappop(heap)
@@ -64,13 +68,13 @@ class Pieces:
             if k < n:
                 before[k] = i
                 joined = both + part[k]
-                if joined in score:
-                    heapq.heappush(heap, (-score[joined], i, joined))
+                if (worth := cost(joined)) is not None:
+                    push(heap, (worth, i, joined))
             h = before[i]
             if h >= 0:
                 joined = part[h] + both
-                if joined in score:
-                    heapq.heappush(heap, (-score[joined], h, joined))
+                if (worth := cost(joined)) is not None:
+                    push(heap, (worth, h, joined))
         out: list[int] = []
         for p in part:
             if p:
@@ -82,19 +86,19 @@ class Pieces:
                     out.append(self.unknown)
         return out
 
-    def learn(self, stretches: list[str]) -> None:
-        """Encode new stretches (a space mark, then no other) and hold them against the library."""
-        theirs = self.library.encode([s[1:] for s in stretches], num_threads=1)
-        for stretch, checked in zip(stretches, theirs, strict=True):
-            ids = self.agenda(stretch)
+    def learn(self, words: list[str]) -> None:
+        """Encode new stretches, each with a space mark in front, and hold them against the library."""
+        theirs = self.library.encode(words, num_threads=1)
+        for word, checked in zip(words, theirs, strict=True):
+            ids = self.agenda(SPACE + word)
             if ids != checked:
-                raise ValueError(f"the library encodes {stretch!r} as {checked}, not as {ids}")
-            self.known[stretch] = (tuple(ids), ",".join(map(str, ids)))
+                raise ValueError(f"the library encodes {word!r} as {checked}, not as {ids}")
+            self.young[word] = tuple(ids)
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """The ids of every text: a space mark in front, as the library has it; a null is empty."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
         words, odd = [], {}
         for i, text in enumerate(texts):
             # the library takes NUL and a few others its own way, and space runs stick together
@@ -104,10 +108,13 @@ class Pieces:
             else:
                 words.append([])
                 odd[i] = self._whole(text)
-        known = self.known
-        new = sorted({w for ws in words for w in ws if SPACE + w not in known})
-        self.learn([SPACE + w for w in new])
-        return [odd[i] if i in odd else [x for w in ws for x in known[SPACE + w][0]] for i, ws in enumerate(words)]
+        young, old = self.young, self.old
+        missing = set().union(*words).difference(young)
+        again = missing.intersection(old)
+        young.update((w, old[w]) for w in again)
+        self.learn(list(missing - again))
+        of = young.__getitem__
+        return [odd[i] if i in odd else list(chain.from_iterable(map(of, ws))) for i, ws in enumerate(words)]
 
     def _whole(self, text: str) -> list[int]:
         """A text with space runs: split where a mark follows another character."""
