@@ -16,15 +16,37 @@ def links(docs: DataFrame, body: str = "text") -> DataFrame:
     return docs.select("path", F.explode(found).alias("target"))
 
 
+def normal_path(path: Column) -> Column:
+    """A path without ``.``, ``..`` and empty parts; ``..`` at the root stays there."""
+    rooted = F.startswith(path, F.lit("/"))
+
+    def step(done: Column, part: Column) -> Column:
+        inside = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1)) != "..")
+        up = F.when(inside, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(
+            rooted, done
+        ).otherwise(F.array_append(done, ".."))
+        return F.when(part.isin("", "."), done).when(part == "..", up).otherwise(F.array_append(done, part))
+
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    return F.concat(F.when(rooted, F.lit("/")).otherwise(F.lit("")), F.array_join(parts, "/"))
+
+
 def broken_links(docs: DataFrame, targets: DataFrame, body: str = "text") -> DataFrame:
-    """Local links to something that is not there, once per mention.
+    """Local links to something that is not there: target, path and mentions per document.
 
-    ``targets`` lists what exists under the names links use. A target that very many documents
-    name is counted per document first, so each mention group meets the target list once.
+    A link is followed from its document's folder; one in a document without a path, from the top.
+    ``targets`` lists the paths that exist, folders included, written as ``path`` is; the root
+    exists. A target that very many documents name is counted per document first, so each mention
+    group meets the target list once.
     """
     local = links(docs, body).where(~F.col("target").rlike("^(?:http://|https://|mailto:)"))
     mentions = local.groupBy("target", "path").agg(F.count(F.lit(1)).alias("mentions"))
-    return mentions.join(targets.select("target").distinct(), "target", "left_anti")
+    beside = F.concat(F.col("path").cast("string"), F.lit("/../"), F.col("target"))
+    alone = F.startswith("target", F.lit("/")) | (F.coalesce(F.col("path").cast("string"), F.lit("")) == "")
+    there = normal_path(F.when(alone, F.col("target")).otherwise(beside))
+    known = targets.select(normal_path(F.col("target")).alias("__at")).distinct()
+    followed = mentions.withColumn("__at", there).where(~F.col("__at").isin("", "/"))
+    return followed.join(known, "__at", "left_anti").select("target", "path", "mentions")
 
 
 def secret_scan(docs: DataFrame, body: str = "text") -> DataFrame:

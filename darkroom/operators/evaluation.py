@@ -74,7 +74,7 @@ def paired_summary(results: DataFrame, by: Sequence[str] = ("dataset",)) -> Data
         share(F.col("matched")).alias("router_picked_the_winner"),
     )
     half = exact_percentile(results, list(by), "seconds", "median_seconds")
-    return means.join(half, list(by), "left")
+    return join_null_safe(means, half, list(by), "left")
 
 
 def proxy_report(results: DataFrame, tie: Sequence[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from darkroom.operators.ordered import join_null_safe
 from darkroom.session import cut_lineage
 
 
@@ -99,9 +100,9 @@ def exact_percentile(
     # A sketch of one row, or of a fixed handful, meets the rows before any shuffle. Otherwise the
     # values are counted first, which sends each task's distinct values on once.
     met = (
-        x.groupBy(*group, "__x").agg(F.count(F.lit(1)).alias("__c")).join(sketch, group)
+        join_null_safe(x.groupBy(*group, "__x").agg(F.count(F.lit(1)).alias("__c")), sketch, group)
         if keys and not few_groups
-        else x.withColumn("__c", F.lit(1).cast("bigint")).join(F.broadcast(sketch), group)
+        else join_null_safe(x.withColumn("__c", F.lit(1).cast("bigint")), F.broadcast(sketch), group)
     )
     small = F.col("__n") <= accuracy  # the bracket is counted in ranks, so few rows need none
     inside = (

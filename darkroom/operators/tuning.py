@@ -25,6 +25,11 @@ def hash_split(key: Column) -> Column:
     return F.when(number % 100 < fixed.HOLDOUT_PERCENT, F.lit("holdout")).otherwise(F.lit("fit"))
 
 
+def rounded_half_even(value: Column, digits: int) -> Column:
+    """``value`` to ``digits`` places by the stored binary value; ``bround`` goes by its shortest text."""
+    return F.call_function("format_number", value, F.lit("0." + "0" * digits)).cast("double")
+
+
 def slot(value: Column, gates: Sequence[float]) -> Column:
     """How many of the ascending ``gates`` are at most ``value``, by binary search."""
 
@@ -68,7 +73,7 @@ def _curve(counted: DataFrame, gates: Sequence[float], digits: int | None) -> Da
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     total = F.sum("a").over(over) + F.coalesce(F.sum("b").over(under), F.lit(0.0))
     n = F.sum("n").over(whole)
-    mean = total / n if digits is None else F.bround(total / n, digits)
+    mean = total / n if digits is None else rounded_half_even(total / n, digits)
     score = F.when(n > 0, mean).otherwise(F.lit(0.0))
     return rows.select("slot", score.alias("score")).where("slot > 0").select(
         _gate_of(gates).alias("gate"), "score"
@@ -80,7 +85,7 @@ def gate_sweep(
 ) -> DataFrame:
     """gate, score: mean outcome when ``above`` is used at or over the gate, else ``below``.
 
-    Needs confidence, above, below. Scores are rounded half-even to ``digits`` places, as
+    Needs confidence, above, below. Scores are rounded to ``digits`` places before they are
     compared. No observations score 0.0.
     """
     return _curve(_counted(observations, gates), gates, digits)

@@ -49,12 +49,13 @@ def _(spark, sf):
 @plans.add("ss3_read_report", f"""with {SPECS} select cast(id as varchar) as id, op, p_retailprice as cost from sp
   where op not in ('add', 'replace') union all select id || '-b', op, p_retailprice / 2 from sp where op not in ('add', 'replace')""")
 def _(spark, sf):
-    """Reports of two results each, one JSON array per line."""
+    """Reports of three results each, one JSON array per line; the last repeats the first one's id."""
     path = scratch_dir(spark, "report")
     ident = F.col("id").cast("string")
     pair = F.array(
-        F.struct(ident.alias("id"), "op", F.col("p_retailprice").alias("cost")),
+        F.struct(ident.alias("id"), "op", F.lit(-1.0).alias("cost")),
         F.struct(F.concat(ident, F.lit("-b")).alias("id"), "op", (F.col("p_retailprice") / 2).alias("cost")),
+        F.struct(ident.alias("id"), "op", F.col("p_retailprice").alias("cost")),
     )
     spec_rows(spark, sf).select(F.to_json(pair).alias("value")).write.text(path)
     return readers.read_report(spark, path, one_line=True).select("id", "op", "cost")
@@ -86,10 +87,14 @@ def _(spark, sf):
     return runs.drop("cold_load_s").withColumn("run", F.replace("run", F.lit("_"), F.lit("#")))
 
 
-@plans.add("ss5_scan_objects")
+@plans.add("ss5_scan_objects", """select sha256(text) as digest, max(octet_length(encode(text)))::bigint as size,
+    true as dated from documents group by sha256(text)""")
 def _(spark, sf):
-    """The shared tables' own files listed as stored objects."""
-    return readers.scan_objects(spark, sf, r"[a-z]+\.parquet").select("digest", "size")
+    """Every document stored by content, then listed."""
+    root = scratch_dir(spark, "scanned")
+    writers.put_objects(table(spark, sf, "documents").select(F.encode("text", "UTF-8").alias("content")), root)
+    listed = readers.scan_objects(spark, root, packed=True)
+    return listed.select("digest", "size", F.col("modified_at").isNotNull().alias("dated"))
 
 
 @plans.add("ss6_put_objects", """select sha256(text) as digest, max(octet_length(encode(text)))::bigint as size,

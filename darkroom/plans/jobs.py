@@ -39,16 +39,25 @@ def _(spark, sf):
     return ops.dedupe_images(rows, ["l_shipdate", "width", "height"]).drop("l_shipdate")
 
 
-@plans.add("wn3_current_state", f"""with {STEPS_SQL},
-  known as (select cast(c_custkey as varchar) || '-20240105' as id from customer)
+# Every job that has steps, and one without any per customer.
+KNOWN_SQL = """known as (select distinct job_id as id, user_id from steps
+  union all select cast(c_custkey as varchar) || '-none', c_custkey from customer)"""
+
+
+def _known(spark, sf):
+    idle = table(spark, sf, "customer").select(
+        F.concat(F.col("c_custkey").cast("string"), F.lit("-none")).alias("id"), F.col("c_custkey").alias("user_id")
+    )
+    started = steps(spark, sf).select(F.col("job_id").alias("id"), "user_id").distinct()
+    return started.unionByName(idle)
+
+
+@plans.add("wn3_current_state", f"""with {STEPS_SQL}, {KNOWN_SQL}
   select k.id as job_id, coalesce(arg_max(state, s.id), 'queued') as state,
     coalesce((array_agg(progress order by s.id desc))[1], 0.0) as progress
   from known k left join steps s on s.job_id = k.id group by k.id""")
 def _(spark, sf):
-    known = table(spark, sf, "customer").select(
-        F.concat(F.col("c_custkey").cast("string"), F.lit("-20240105")).alias("id")
-    )
-    return ops.current_state(known, steps(spark, sf))
+    return ops.current_state(_known(spark, sf).select("id"), steps(spark, sf))
 
 
 @plans.add("wn4_fill_progress", f"""with {STEPS_SQL} select job_id, id, state, coalesce(
@@ -81,18 +90,13 @@ def _(spark, sf):
     return ops.owner_lookup(asked, held)
 
 
-@plans.add("jn1_jobs_with_steps", f"""with {STEPS_SQL},
-  known as (select cast(c_custkey as varchar) || '-20240105' as id, c_custkey as user_id from customer)
+@plans.add("jn1_jobs_with_steps", f"""with {STEPS_SQL}, {KNOWN_SQL}
   select k.id as job_id, k.user_id as user_id, s.id as step_id, s.state as step_state,
     s.progress as step_progress,
     case when s.id is not null then row_number() over (partition by k.id order by s.id) end as step_no
   from known k left join steps s on s.job_id = k.id""")
 def _(spark, sf):
-    known = table(spark, sf, "customer").select(
-        F.concat(F.col("c_custkey").cast("string"), F.lit("-20240105")).alias("id"),
-        F.col("c_custkey").alias("user_id"),
-    )
-    return ops.jobs_with_steps(known, steps(spark, sf).drop("user_id")).drop("step_detail", "step_at")
+    return ops.jobs_with_steps(_known(spark, sf), steps(spark, sf).drop("user_id")).drop("step_detail", "step_at")
 
 
 LEGAL = """(values ('queued','planning'),('queued','cancelled'),('queued','failed'),

@@ -122,14 +122,14 @@ def _(spark, sf):
     return rounded(ops.region_consistency(vectors, "label", "embedding", "inside"))
 
 
-@plans.add("pv3_validate_masks", """with m as (select vec_id as mask_id, label, [floor(abs(e) * 100)::bigint for e in embedding[1:8]] as counts
+@plans.add("pv3_validate_masks", """with m as (select vec_id as mask_id, label, [floor(abs(e) * 100)::bigint for e in embedding] as counts
     from embeddings), s as (select *, list_sum(counts)::bigint as total from m),
   t as (select *, 1 as width, (total + (label >= 7)::int) as height, 10 as iw,
     (total + (label >= 7)::int) * 10 + label * 3 as ih from s)
   select mask_id, concat_ws('; ', case when total <> height then 'counts do not fill the mask' end,
     case when abs(width * ih - height * iw) > iw + ih then 'not the shape of the image' end) as violations from t""")
 def _(spark, sf):
-    counts = F.transform(F.slice("embedding", 1, 8), lambda e: F.floor(F.abs(e) * 100))
+    counts = F.transform("embedding", lambda e: F.floor(F.abs(e) * 100))
     total = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, n: a + n)
     masks = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("mask_id"), "label", counts.alias("counts")

@@ -128,17 +128,19 @@ def _(spark, sf):
     f"when '{k}' then '{v}'" for k, v in fixed.COLOURS.items()) + """ end as colour
   from (select doc_id, unnest(list_transform(string_split(text, ' '), lambda x, i: {'w': lower(trim(x, ' ' || chr(10))), 'i': i})) as w from documents)
   where w.w in (""" + ", ".join(f"'{k}'" for k in fixed.COLOURS) + """)
-  union all select p_partkey, -1, case split_part(p_name, ' ', 1) """ + " ".join(
-    f"when '{k}' then '{v}'" for k, v in fixed.COLOURS.items()) + """ end from part""")
+  union all select p_partkey, -w.i, case w.w """ + " ".join(f"when '{k}' then '{v}'" for k, v in fixed.COLOURS.items()) + """ end
+  from (select p_partkey, unnest(list_transform(string_split(p_name, ' '), lambda x, i: {'w': lower(x), 'i': i})) as w from part)""")
 def _(spark, sf):
     words = table(spark, sf, "documents").select(
         "doc_id", F.posexplode(F.split("text", " ")).alias("place", "word")
     )
     found = words.select("doc_id", F.col("place").cast("bigint").alias("place"),
                          text.named_colour(F.col("word")).alias("colour")).where("colour IS NOT NULL")
-    parts = table(spark, sf, "part").select(
-        F.col("p_partkey").alias("doc_id"), F.lit(-1).cast("bigint").alias("place"),
-        text.named_colour(F.split("p_name", " ")[0]).alias("colour"),
+    names = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("doc_id"), F.posexplode(F.split("p_name", " ")).alias("place", "word")
+    )
+    parts = names.select(
+        "doc_id", (-1 - F.col("place")).cast("bigint").alias("place"), text.named_colour(F.col("word")).alias("colour")
     )
     return found.unionByName(parts)
 
@@ -209,14 +211,23 @@ PATH_OF = r"'^https?://[^/]+(/[^?#]*).*$'"
 LINKED = r"""docs as (select page_id as path, url, regexp_replace(html, '<a href="([^"]*)">([^<\]]*)</a>', '[\2](\1)', 'g') as text from pages)"""
 
 
-@plans.add("jn9_broken_links", rf"""with {LINKED}, l as (select path, unnest(regexp_extract_all(text, '{fixed.LINK}', 1)) as target from docs)
-  select target, path, count(*) as mentions from l where not regexp_matches(target, '^(?:http://|https://|mailto:)')
-    and target not in (select '/' || string_split(text, ' ')[1] from documents) group by target, path""")
+@plans.add("jn9_broken_links", rf"""with {LINKED}, here as (select rtrim(regexp_extract(url, {PATH_OF}, 1), '/') as here_path,
+    text || ' [twin](..' || rtrim(regexp_extract(url, {PATH_OF}, 1), '/') || ') [next](./' || path || '/) [up](..)' as text from docs),
+  l as (select here_path as path, unnest(regexp_extract_all(text, '{fixed.LINK}', 1)) as target from here),
+  f as (select *, regexp_replace(path, '/[^/]*$', '') as folder from l),
+  g as (select *, rtrim(case when target = '..' then '/' when starts_with(target, '../') then regexp_replace(folder, '/[^/]*$', '') || target[3:]
+    when starts_with(target, './') then folder || target[2:] when starts_with(target, '/') then target
+    else folder || '/' || target end, '/') as followed from f)
+  select target, path, count(*) as mentions from g where not regexp_matches(target, '^(?:http://|https://|mailto:)')
+    and followed <> '' and followed not in (select here_path from here) group by target, path""")
 def _(spark, sf):
-    known = table(spark, sf, "documents").select(
-        F.concat(F.lit("/"), F.split("text", " ")[0]).alias("target")
+    """Pages with three relative links more each: one to itself, one by number, one to the root."""
+    at = F.rtrim(F.regexp_extract("url", "^https?://[^/]+(/[^?#]*).*$", 1), F.lit("/"))
+    docs = linked(spark, sf).select(
+        at.alias("path"),
+        F.concat("text", F.lit(" [twin](.."), at, F.lit(") [next](./"), "path", F.lit("/) [up](..)")).alias("text"),
     )
-    return ops.broken_links(linked(spark, sf).select("path", "text"), known)
+    return ops.broken_links(docs, docs.select(F.col("path").alias("target")))
 
 
 @plans.add("jn10_reconcile", """with i as (select o_orderkey as id, o_orderstatus as s, o_orderpriority as p from orders),

@@ -34,7 +34,7 @@ OBS = """o0 as (select d.doc_id as id, least(n_chars::double / 7919, 1.0::double
     case when ('0x' || substr(sha256(cast(id as varchar)), 1, 8))::ubigint % 100 < 50 then 'holdout' else 'fit' end as split
     from o0)"""
 GATES = "g as (select (i / 100)::double as gate from range(101) t(i))"
-CURVE = """curve as (select gate, round_even(avg(case when confidence >= gate then above else below end), 4) as score
+CURVE = """curve as (select gate, format('{:.4f}', avg(case when confidence >= gate then above else below end))::double as score
     from obs, g where split = 'fit' group by gate)"""
 
 

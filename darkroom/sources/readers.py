@@ -53,10 +53,18 @@ def read_report(
     """JSON arrays of results, one row per element, operations that cannot repeat left out.
 
     ``one_line`` reads files with an array per line, which Spark can split; otherwise each file
-    is one array.
+    is one array. Of the rows left with one ``id`` the last stays, by file name and place in the
+    file; rows without an id count as one id.
     """
-    rows = spark.read.schema(schema).option("multiLine", not one_line).json(path)
-    return rows.where(F.col("op").isNull() | ~F.col("op").isin(*exclude_ops))
+    read = spark.read.schema(schema).option("multiLine", not one_line).json(path)
+    # Slices of a file are ordered by where they start, and generated ids rise within a slice.
+    placed = read.select(
+        F.struct(*read.columns).alias("row"),
+        F.struct(
+            F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+        ).alias("at"),
+    ).where(F.col("row.op").isNull() | ~F.col("row.op").isin(*exclude_ops))
+    return placed.groupBy("row.id").agg(F.max_by("row", "at").alias("row")).select("row.*")
 
 
 def collate_results(
@@ -90,11 +98,20 @@ def collate_results(
     )
 
 
-def scan_objects(spark: SparkSession, root: str, name: str = "[0-9a-f]{64}") -> DataFrame:
+def scan_objects(
+    spark: SparkSession, root: str, name: str = "[0-9a-f]{64}", packed: bool = False
+) -> DataFrame:
     """digest, size, modified_at of every stored object, without reading a byte of content.
 
-    Names of another shape are writes in progress or not ours, and are left out.
+    Names of another shape are writes in progress or not ours, and are left out. ``packed`` lists
+    a store as ``writers.put_objects`` writes it, where a file holds many objects: only the digest
+    and size columns are read, and an object is as old as its file.
     """
+    if packed:
+        stored = spark.read.schema("digest string, size bigint").parquet(root)
+        return stored.select(
+            "digest", "size", F.col("_metadata.file_modification_time").alias("modified_at")
+        ).where(F.col("digest").rlike(f"^{name}$"))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     stem = F.regexp_extract("path", r"([^/]+)$", 1)
     return files.select(

@@ -9,6 +9,8 @@ from darkroom.functions import payloads
 from darkroom.operators import evaluation, jobs
 from darkroom.operators.folds import rate_limit
 from darkroom.operators.ordered import by_sequence, scan
+from darkroom.operators.ranks import exact_percentile
+from darkroom.operators.tuning import rounded_half_even
 
 
 @pytest.mark.parametrize("heavy", [1, 2, 7, 1 << 20])
@@ -28,6 +30,19 @@ def test_rate_limit_keeps_rows(spark, rows):
     assert len(seen) == 12 and all(seen[None, s] == seen["x", s] for _, s in data)
 
 
+def test_percentile_of_a_null_group(spark):
+    df = spark.createDataFrame([(None, 5.0), (None, 7.0), ("a", 1.0), ("a", None)], "k string, v double")
+    for few in (False, True):
+        got = {r.k: r.p for r in exact_percentile(df, ["k"], "v", "p", few_groups=few).collect()}
+        assert got == {None: 6.0, "a": 1.0}
+
+
+def test_gate_scores_round_as_stored(spark):
+    df = spark.createDataFrame([(0.00125,), (0.00135,), (2.5,), (None,)], "v double")
+    got = [r[0] for r in df.select(rounded_half_even(F.col("v"), 4)).collect()]
+    assert got == [round(0.00125, 4), round(0.00135, 4), 2.5, None]
+
+
 def test_rank_variants(spark):
     df = spark.createDataFrame(
         [("c", 0.5, 2.0, 1), ("c", None, 1.0, 2), ("c", 0.0, 1.0, 3), ("c", 0.1, None, 4), (None, 0.2, 1.0, 5)],

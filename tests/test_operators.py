@@ -369,6 +369,13 @@ def test_document_checks(spark):
     )
     have = spark.createDataFrame([("y.md",)], "target string")
     assert [(r.path, r.target) for r in documents.broken_links(docs, have).collect()] == [("a", "gone.md")]
+    nested = spark.createDataFrame(
+        [("docs/in/a.md", "[u](../b.md) [h](./c.md) [t](/etc/x) [r](../../) [f](../in/) [g](../gone.md) [g](../gone.md)"),
+         ("/x/y.md", "[u](../../../z.md) [w](w.md)"), (None, "[n](b.md) [m](docs//./b.md)")], "path string, text string")
+    have = spark.createDataFrame([("docs/b.md",), ("docs/in/c.md",), ("docs/in",), ("/z.md",), (None,)], "target string")
+    found = documents.broken_links(nested, have).collect()
+    assert sorted((r.path or "", r.target, r.mentions) for r in found) == [
+        ("", "b.md", 1), ("/x/y.md", "w.md", 1), ("docs/in/a.md", "../gone.md", 2), ("docs/in/a.md", "/etc/x", 1)]
     assert [r.path for r in documents.secret_scan(docs).collect()] == ["b"]
     assert sorted((r.path, r.field) for r in documents.required_headers(docs).where("path = 'b'").collect()) == [
         ("b", "**Authority:**"), ("b", "**Read when:**")]
@@ -429,6 +436,11 @@ def test_readers(spark, tmp_path):
     reports.mkdir()
     (reports / "r.json").write_text(json.dumps([{"id": "a", "op": "remove", "cost": 1.0}, {"id": "b", "op": "add"}], indent=1))
     assert [r.id for r in readers.read_report(spark, str(reports)).collect()] == ["a"]
+    (reports / "r.json").write_text(json.dumps([
+        {"id": "a", "op": "remove", "cost": 1.0}, {"id": "c", "op": "remove", "cost": 9.0},
+        {"id": "a", "op": "remove", "cost": 2.0}, {"id": "a", "op": "add", "cost": 3.0}, {"op": "upscale", "cost": 4.0}]))
+    last = readers.read_report(spark, str(reports)).collect()
+    assert sorted((r.id or "", r.cost) for r in last) == [("", 4.0), ("a", 2.0), ("c", 9.0)]
 
     runs = tmp_path / "runs"
     runs.mkdir()
