@@ -110,7 +110,7 @@ class Pieces:
                 odd[i] = self._whole(text)
         young, old = self.young, self.old
         missing = set().union(*words).difference(young)
-        again = missing.intersection(old)
+        again = {w for w in missing if w in old}
         young.update((w, old[w]) for w in again)
         self.learn(list(missing - again))
         of = young.__getitem__
