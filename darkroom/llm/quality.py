@@ -11,8 +11,6 @@ from darkroom.session import cut_lineage
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
-#: Each ratio in thousandths, and the least distance that counts as an outlier.
-RATIOS = {"word_size": 1000, "symbols": 60, "dup_lines": 350, "repeats": 300}
 GROUP = ["language", "origin"]
 
 
@@ -76,14 +74,19 @@ def quantile_sketch(counts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def fences(sketch: DataFrame, by: list[str], reach: int = 4) -> DataFrame:
-    """``by, ratio, total, low, high``: the quartiles widened by ``reach`` times their distance."""
+    """``by, ratio, total, low, high``: the quartiles widened by ``reach`` times their distance.
+
+    Where the quartiles are equal the outer eighths are widened, each by ``reach`` times its own
+    distance from them. Where the eighths are equal too, every value beyond them is outside.
+    """
     key = W.partitionBy(*by, "ratio")
     ranked = sketch.withColumn("upto", F.sum("n").over(key.orderBy("bucket"))).withColumn("total", F.sum("n").over(key))
-    at = lambda share: F.min(F.when(F.col("upto") * 4 >= F.col("total") * share, F.col("bucket")))
-    quarters = ranked.groupBy(*by, "ratio").agg(F.max("total").alias("total"), at(1).alias("q1"), at(3).alias("q3"))
-    least = F.create_map(*[F.lit(x) for pair in RATIOS.items() for x in pair])[F.col("ratio")]
-    wide = F.greatest((F.col("q3") - F.col("q1")) * reach, least.cast("long"))
-    return quarters.select(*by, "ratio", "total", (F.col("q1") - wide).alias("low"), (F.col("q3") + wide).alias("high"))
+    at = lambda share: F.min(F.when(F.col("upto") * 8 >= F.col("total") * share, F.col("bucket")))
+    parts = ranked.groupBy(*by, "ratio").agg(F.max("total").alias("total"), *[at(k).alias(f"e{k}") for k in (1, 2, 6, 7)])
+    apart = F.col("e6") - F.col("e2")
+    low = F.when(apart > 0, F.col("e2") - apart * reach).otherwise(F.col("e1") - (F.col("e2") - F.col("e1")) * reach)
+    high = F.when(apart > 0, F.col("e6") + apart * reach).otherwise(F.col("e7") + (F.col("e7") - F.col("e6")) * reach)
+    return parts.select(*by, "ratio", "total", low.alias("low"), high.alias("high"))
 
 
 def judge_quality(
@@ -94,7 +97,8 @@ def judge_quality(
 
     A row fails outright below 50 words or when more than half of its words lie in repeated
     three-word windows. Otherwise its mean word length, symbol share, repeated lines and repeated
-    words are held against fences around the quartiles of its own language and source. A
+    words are held against fences around the quartiles (or eighths, see ``fences``) of its own
+    language and source, with no fixed cutoffs. A
     language-and-source pair of fewer than ``least_rows`` rows uses the merged sketch of its
     language; a language of fewer rows has no fence.
 

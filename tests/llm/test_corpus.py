@@ -276,6 +276,15 @@ def test_quality(spark, empty):
     assert quality.judge_quality(empty).collect() == []
 
 
+def test_fences_follow_the_group(spark):
+    lined = lambda k, again: "\n".join([prose(10, 5000 + 20 * k + j) for j in range(12 - again)] + [prose(10, 5000 + 20 * k)] * again)
+    rows = [(k, lined(k, 0), "en", "plain") for k in range(60)] + [(100, lined(100, 2), "en", "plain")]
+    rows += [(200 + k, lined(200 + k, 1 + k % 4), "en", "refrains") for k in range(60)] + [(300, lined(300, 2), "en", "refrains")]
+    got = {r.id: r.kept for r in quality.judge_quality(spark.createDataFrame(rows, "id long, detail string, lang string, source string")).collect()}
+    assert all(got[k] for k in range(60)) and not got[100]  # a line comes twice where none do
+    assert all(got[200 + k] for k in range(60)) and got[300]  # the same where that is common
+
+
 def test_severity(spark, empty):
     bad = ["vileword", "nastyish", "horrid"]
     r = random.Random(6)
