@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from darkroom.llm.vocab import blocks
 from darkroom.llm.words import Words, mix, windows
@@ -15,6 +16,10 @@ from darkroom.session import cut_lineage
 BITS = 1024
 #: Queries against one indexed text that go to one task; more of them are dealt over several.
 PER_BLOCK = 4000
+#: Members of a shingle's list that one task compares whole; a longer list is cut into blocks of about as many.
+PER_LIST = 4096
+#: The side of a set in a list: first or second block of a pair, a list or block compared with itself, a block whose leaders are told.
+FIRST, SECOND, ITSELF, LEADERS = range(4)
 NO_ID = -(1 << 63)
 SET = "id long, row_hash long, n int, k1 long, k2 long, prefix array<long>, bits binary"
 
@@ -99,63 +104,126 @@ def _sets(rows: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
     return rows.mapInArrow(run, SET)
 
 
-def _pairs(lists: DataFrame, share: tuple[int, int], across: bool) -> DataFrame:
-    """Pairs that may be similar, from lists of sets with a prefix shingle in common.
+def _cut(listed: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """``s, n, tok`` of shingles that several sets have, with the block of every set in a long list.
 
-    Sizes and bitmaps rule out most pairs. With ``across`` false, every set is paired with one
-    earlier set of its list, so a list of near copies gives as many pairs as it has members. With
-    ``across`` true, all possible pairs of different groups are given that have enough prefix
-    shingles in common.
+    ``level`` is a size class so wide that similar sets are in one class or in neighbouring ones,
+    ``salt`` a part of the class by hash and ``salts`` the number of parts of every class of the
+    list. All three are null in lists of at most ``PER_LIST`` members.
     """
+    width = max(math.log(share[1] / share[0]), 1e-6) * (1 + 1e-9)
+    many = listed.groupBy("tok").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    shared = cut_lineage(listed.join(many, "tok").withColumn("level", F.when(F.col("many") > PER_LIST, F.floor(F.log("n") / F.lit(width)).cast("long"))))
+    salts = shared.where("level is not null").groupBy("tok", "level").agg(F.ceil(F.count(F.lit(1)) / PER_LIST).cast("long").alias("parts"))
+    salts = salts.groupBy("tok").agg(F.map_from_entries(F.collect_list(F.struct("level", "parts"))).alias("salts"))
+    cut = shared.drop("many").join(salts, "tok", "left")
+    return cut_lineage(cut.withColumn("salt", F.pmod(F.xxhash64("s"), F.try_element_at("salts", "level"))))
+
+
+def _alone(members: DataFrame) -> DataFrame:
+    """``members`` with ``list`` and ``side``: short lists whole, every block of a long one by itself."""
+    short = F.col("salts").isNull()
+    return members.withColumn("list", F.when(short, F.col("tok")).otherwise(F.xxhash64("tok", "level", "salt"))).withColumn(
+        "side", F.when(short, F.lit(ITSELF)).otherwise(F.lit(LEADERS))
+    )
+
+
+def _paired(members: DataFrame) -> DataFrame:
+    """``members`` with ``list`` and ``side``: short lists whole, and all pairs of blocks whose sizes may be similar."""
+    level, salt = F.col("level"), F.col("salt")
+
+    def beside(step: int):
+        parts = F.coalesce(F.try_element_at("salts", level + F.lit(step).cast("long")), F.lit(0).cast("long"))
+        return F.filter(F.sequence(F.lit(0).cast("long"), parts), lambda q: q < parts)
+
+    place = lambda l1, r1, l2, r2, side: F.struct(F.xxhash64("tok", l1, r1, l2, r2).alias("list"), side.alias("side"))
+    near = F.concat(
+        F.transform(beside(0), lambda q: place(
+            level, F.least(salt, q), level, F.greatest(salt, q),
+            F.when(q == salt, F.lit(ITSELF)).when(salt < q, F.lit(FIRST)).otherwise(F.lit(SECOND)),
+        )),
+        F.transform(beside(1), lambda q: place(level, salt, level + 1, q, F.lit(FIRST))),
+        F.transform(beside(-1), lambda q: place(level - 1, q, level, salt, F.lit(SECOND))),
+    )
+    whole = F.array(F.struct(F.col("tok").alias("list"), F.lit(ITSELF).alias("side")))
+    return members.withColumn("at", F.explode(F.when(F.col("salts").isNull(), whole).otherwise(near))).select(
+        *members.columns, F.col("at.list").alias("list"), F.col("at.side").alias("side")
+    )
+
+
+def _found(lists: DataFrame, share: tuple[int, int], across: bool) -> DataFrame:
+    """``x, y, need, list``: pairs that may be similar; a null ``y`` names a set that stands for itself in a block."""
     def run(batches):
         import pyarrow as pa
 
         def table(out):
-            return pa.RecordBatch.from_arrays([pa.array([v[k] for v in out], pa.int64()) for k in range(3)], ["x", "y", "need"])
+            return pa.RecordBatch.from_arrays([pa.array([v[k] for v in out], pa.int64()) for k in range(4)], ["x", "y", "need", "list"])
 
         out = []
-        for held in _lists(batches):
+        for name, held in _lists(batches):
             held = _List(held, share)
             for i, j in held.across() if across else held.stars():
-                out.append((held.s[i], held.s[j], int(common(min(held.n[i], held.n[j])))))
+                out.append((held.s[i], held.s[j], int(common(min(held.n[i], held.n[j]))), name))
                 if len(out) >= 20_000:
                     yield table(out)
                     out = []
+            if not across and held.side[0] == LEADERS:
+                out += [(held.s[i], None, None, name) for i in held.leaders]
         if out:
             yield table(out)
 
-    found = lists.mapInArrow(run, "x long, y long, need long")
-    if not across:
-        return found.select("x", "y").distinct()
+    return lists.mapInArrow(run, "x long, y long, need long, list long")
+
+
+def _stars(cut: DataFrame, lists, share: tuple[int, int]) -> DataFrame:
+    """Pairs that may be similar: every set with one earlier set of each of its lists.
+
+    So a list of near copies gives as many pairs as it has members. In a long list the sets of a
+    block that stand for themselves are then held against those of the other blocks.
+    """
+    members = _alone(cut.withColumn("group", F.col("s")))
+    found = cut_lineage(_found(lists(members), share, across=False))
+    pairs, leaders = found.where("y is not null"), found.where("y is null").select("list", F.col("x").alias("s"))
+    if not leaders.isEmpty():
+        left = members.where(F.col("side") == LEADERS).join(leaders, ["list", "s"], "left_semi").drop("list", "side")
+        pairs = pairs.unionByName(_found(lists(_paired(left).where(F.col("side") != ITSELF)), share, across=False))
+    return pairs.select("x", "y").distinct()
+
+
+def _across(members: DataFrame, lists, share: tuple[int, int]) -> DataFrame:
+    """All pairs of different groups that may be similar and have enough prefix shingles in common."""
+    found = _found(lists(_paired(members)), share, across=True)
     return found.groupBy("x", "y").agg(F.count(F.lit(1)).alias("many"), F.max("need").alias("need")).where("many >= need").select("x", "y")
 
 
 def _lists(batches):
-    """The lists of a partition sorted by shingle and size, as columns s, n, bits, group."""
+    """The lists of a partition sorted by list and size: its name and columns s, n, bits, group, side."""
     held, last = [], None
     for batch in batches:
-        tok = batch.column("tok").to_numpy()
+        tok = batch.column("list").to_numpy()
         cuts = np.concatenate([[0], np.flatnonzero(tok[1:] != tok[:-1]) + 1, [len(tok)]]).tolist() if len(tok) else [0]
-        columns = [batch.column(c).to_pylist() for c in ("s", "n", "bits", "group")]
+        columns = [batch.column(c).to_pylist() for c in ("s", "n", "bits", "group", "side")]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if held and tok[a] != last:
-                yield held
+                yield int(last), held
                 held = []
             part = [c[a:b] for c in columns]
             held = [x + y for x, y in zip(held, part, strict=True)] if held else part
             last = tok[a]
     if held:
-        yield held
+        yield int(last), held
 
 
 class _List:
     """One list of sets in ascending order of size."""
 
     def __init__(self, held: list[list], share: tuple[int, int]) -> None:
-        self.s, self.n, self.raw, self.group = held
+        self.s, self.n, self.raw, self.group, self.side = held
         self.share = share
         self.big = [int.from_bytes(x, "little") for x in self.raw]
         self.base = None
+        #: Members that ``stars`` has found to stand for themselves.
+        self.leaders: list[int] = []
 
     def possible(self, i: int, j: int) -> bool:
         """Whether sizes and parities allow sets ``i`` and ``j`` to be similar."""
@@ -206,11 +274,12 @@ class _List:
                 if j is None:
                     alone.append(i)
                     fresh.add(i)
+                    self.leaders.append(i)
                 else:
                     yield i, j
 
     def across(self):
-        """All (member, earlier member) of different groups that may be similar."""
+        """All (member, earlier member) of different groups and, in a pair of blocks, of both blocks that may be similar."""
         if self.group.count(self.group[0]) == len(self.group):
             return
         many = len(self.s) > 12
@@ -222,7 +291,7 @@ class _List:
                 ok = self.near(block, pool)
             maybe = pool[np.flatnonzero(ok[i % 128])].tolist() if many else range(i)
             for j in maybe:
-                if j < i and self.group[i] != self.group[j] and self.possible(i, j):
+                if j < i and self.group[i] != self.group[j] and (self.side[i] != self.side[j] or self.side[i] == ITSELF) and self.possible(i, j):
                     yield i, j
 
 
@@ -378,7 +447,8 @@ def similar_instructions(
 
     Texts of equal sets are one set from the start. Similar sets must share a shingle of their
     prefixes, so lists of prefix shingles give possible pairs; sizes and parity bitmaps thin them,
-    without losing a link. Each set is first searched for next to one earlier set of each list.
+    without losing a link. A list longer than ``PER_LIST`` is cut by size and hash, and pairs of its
+    blocks are compared in tasks of their own. Each set is first searched for next to one earlier set of each list.
     Only what is then still apart is compared pair by pair. All searches are T-occurrence
     searches on whole sets. No pairs are formed within groups of near copies.
 
@@ -397,18 +467,19 @@ def similar_instructions(
         F.min_by("row_hash", order).alias("row_hash"),
     ).select("*", F.col("top.id").alias("id"), F.monotonically_increasing_id().alias("s")))
     listed = sets.select("s", "n", F.explode("prefix").alias("tok"))
-    shared = cut_lineage(listed.withColumn("many", F.count(F.lit(1)).over(W.partitionBy("tok"))).where("many > 1").drop("many"))
+    shared = _cut(listed, share)
+
     def lists(members: DataFrame) -> DataFrame:
-        return members.join(sets.select("s", "bits"), "s").repartition("tok").sortWithinPartitions("tok", "n", "s")
+        thin = members.select("list", "side", "s", "n", "group")
+        return thin.join(sets.select("s", "bits"), "s").repartition("list").sortWithinPartitions("list", "n", "s")
 
-    pairs = cut_lineage(_pairs(lists(shared.withColumn("group", F.col("s"))), share, across=False))
+    pairs = cut_lineage(_stars(shared, lists, share))
     links = _links(pairs, sets, rows, words, share)
     groups = _groups(links)
     # lists all of whose members are in one group by now have nothing to add
     grouped = shared.join(groups, "s", "left").withColumn("group", F.coalesce("group", "s"))
-    by_tok = W.partitionBy("tok")
-    apart = grouped.select("*", (F.min("group").over(by_tok) != F.max("group").over(by_tok)).alias("apart")).where("apart").drop("apart")
-    more = cut_lineage(_pairs(lists(apart), share, across=True).join(pairs, ["x", "y"], "left_anti"))
+    mixed = grouped.groupBy("tok").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("tok")
+    more = cut_lineage(_across(grouped.join(mixed, "tok", "left_semi"), lists, share).join(pairs, ["x", "y"], "left_anti"))
     if not more.isEmpty():
         merged = _groups(_renamed(_links(more, sets, rows, words, share), groups))
         named = sets.join(groups, "s", "left").withColumn("group", F.coalesce("group", "s"))

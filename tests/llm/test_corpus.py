@@ -240,6 +240,28 @@ def test_similar(steps, empty, monkeypatch, k, share, block):
         assert similar.similar_instructions(empty, instruction="detail").collect() == []
 
 
+def test_a_shingle_of_many_texts_is_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similar, "PER_LIST", 20)
+    shared = "extraordinarily longworded introductory passages everywhere"
+    rows = [(k, shared + " " + prose(20 + k % 60, 7000 + k)) for k in range(150)]
+    rows += [(1000 + k, shared + " " + prose(60, 8000 + k % 7) + (" tail%d" % k)) for k in range(70)]
+    df = spark.createDataFrame(rows, "id long, detail string")
+    sets = [(k, len(t.split()) - 4, 1) for k, t in rows]
+    placed = similar._cut(spark.createDataFrame(sets, "s long, n int, tok long"), (80, 100))
+    alone = [r.n for r in similar._alone(placed).groupBy("list").agg(F.count("s").alias("n")).collect()]
+    assert sum(alone) == 220 and max(alone) <= 50
+    met = defaultdict(list)
+    for r in similar._paired(placed).collect():
+        met[r.list].append(r)
+    together = Counter((a.s, b.s) for m in met.values() for a in m for b in m if a.s < b.s and (a.side != b.side or a.side == similar.ITSELF))
+    assert set(together.values()) == {1} and max(len(m) for m in met.values()) <= 100
+    for a, n, _ in sets:
+        for b, m, _ in sets:
+            assert not (a < b and 100 * min(n, m) >= 80 * max(n, m)) or (a, b) in together
+    got = similar.similar_instructions(df, instruction="detail").collect()
+    assert Counter((r.id, r.n_shingles, r.component_id) for r in got) == plain_groups(rows, 5, 80, 100)
+
+
 def test_groups_of_a_random_graph(spark):
     r = random.Random(4)
     links = [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(k, k + 1) for k in range(100, 130)]
