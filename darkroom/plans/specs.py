@@ -183,13 +183,13 @@ def _(spark, sf):
         F.col("event_id").cast("string"), F.lit(', {"password": "p", "ok": true}]}}'),
     ]
     return table(spark, sf, "events").select(
-        "event_id", payloads.redact(F.concat(*parts), depth=4).alias("fields")
+        "event_id", payloads.redact_all(F.concat(*parts)).alias("fields")
     )
 
 
 @plans.add("pv6_redact_props", """select event_id, '{"k":' || json_extract_string(props, '$.k') || '}' as fields from events""")
 def _(spark, sf):
-    return table(spark, sf, "events").select("event_id", payloads.redact(F.col("props")).alias("fields"))
+    return table(spark, sf, "events").select("event_id", payloads.redact_all(F.col("props")).alias("fields"))
 
 
 @plans.add("pv7_merge_context", """select doc_id, source as job_id, lang as service, 'record' as level,

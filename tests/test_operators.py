@@ -142,6 +142,33 @@ def test_redaction_by_name_at_every_level(spark):
                    "a": {"b": {"c": hidden}}}
 
 
+def test_redaction_keeps_harmless_values_at_any_depth(spark):
+    def plain(v):
+        if isinstance(v, dict):
+            return {k: fixed.REDACTED if any(m in k.lower() for m in ("token", "key")) else plain(x) for k, x in v.items()}
+        return [plain(x) for x in v] if isinstance(v, list) else v
+
+    records = []
+    for levels in [*range(1, 13), 200]:
+        held = {"e": 1, "Api_K\u0065y": {"x": [1, {"y": 2}]}, "t": 'a "token": [{,}] \\', "n": None}
+        for k in range(levels - 1):
+            held = {"ab"[k % 2]: held, "token": [held], "z": []} if k % 3 < 2 and levels < 20 else {"l": [held, {}, 1.5, True], "q\\\"key": "k"}
+        records.append(held)
+    got = said(spark, payloads.redact_all, *[json.dumps(r) for r in records], "{broken", None, '{"a":1,"a":2}', "null", '"token"', "[]")
+    assert [json.loads(g) for g in got[:len(records)]] == [plain(r) for r in records]
+    hidden = json.dumps(fixed.REDACTED)
+    assert got[len(records):] == [hidden, None, hidden, "null", '"token"', "[]"]
+
+
+def test_both_redaction_queries_follow_any_depth(spark, monkeypatch):
+    from darkroom.plans import specs as bound
+
+    deep = '{"a":{"b":{"c":{"d":{"e":1,"token":2}}}}}'
+    monkeypatch.setattr(bound, "table", lambda *_: spark.createDataFrame([(1, deep)], "event_id long, props string"))
+    got = bound.plans.queries["pv6_redact_props"](spark, "").collect()
+    assert got[0]["fields"] == '{"a":{"b":{"c":{"d":{"e":1,"token":"[redacted]"}}}}}'
+
+
 def test_context_precedence(spark):
     m = lambda **kv: F.create_map(*[F.lit(x) for p in kv.items() for x in p])
     got = one(spark, payloads.merge_context(m(a="outer", b="outer"), m(a="inner", c="inner"), m(b="own", error_detail="e" * 900)))
