@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from darkroom.llm import archive, credentials, packing, passages, pieces, quality, runs, severity, similar, tokens
+from darkroom.llm import archive, balltree, boosting, credentials, manifest, packing, passages, pieces, quality, runs, severity, similar, tokens
 from darkroom.plans.registry import Registry
 from darkroom.plans.tables import table
 from darkroom.session import scratch_dir
@@ -125,4 +125,93 @@ def _(spark, sf):
     )
 
 
+@plans.add("op11_ranked_search", r"""
+with words as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+tf as (select doc_id, term, count(*) as tf from words group by all),
+sizes as (select doc_id, cast(sum(tf) as bigint) as n from tf group by all),
+corpus as (select count(*) as docs, cast(sum(n) as bigint) as total from sizes),
+df as (select term, count(*) as df from tf group by all),
+asked as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+scores as (select item_id, doc_id, cast(sum(cast(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) as bigint)
+    * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // total)))) as bigint) as score
+  from asked join df using (term) join tf using (term) join sizes using (doc_id) cross join corpus group by all),
+ranked as (select *, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank from scores where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 50""")
+def _(spark, sf):
+    out = balltree.search_steps(steps(spark, sf), table(spark, sf, "benchmark"), phrase_id="item_id", phrase="text", best=50)
+    return out.select(F.col("phrase_id").alias("item_id"), "rank", F.col("step_id").alias("doc_id"), "score")
+
+
+def remainder(id: str):
+    """The fifth of all rows that is held out of learning is the one with remainder 0."""
+    return F.crc32(F.col(id).cast("string").cast("binary")) % 5
+
+
+@plans.add("op12_quality_classifier")
+def _(spark, sf):
+    rows = prompts(spark, sf)
+    labels = table(spark, sf, "labels").where(remainder("doc_id") != 0)
+    model = boosting.fit_prompt_quality(rows, labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("good")))
+    out = boosting.score_prompts(rows, model)
+    return out.select(
+        F.col("id").alias("doc_id"), F.coalesce(remainder("id") == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+@plans.add("op13_merkle_manifest", """
+with recursive plain as (
+  select *, list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(doc_id::varchar, ''),
+      lambda x: [ascii(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, e: case when e >= 0 then xor(c, e) else xor(c >> 1, (c & 1) * 3988292384) end) as crc
+  from documents),
+now as (select *, case when xor(crc, 4294967295) % 3 = 0
+    then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end as seen from plain),
+said as (select doc_id, lang,
+    coalesce(octet_length(encode(doc_id::varchar)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+    || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::varchar)) || ':' || n_chars, '-') as head,
+    coalesce(octet_length(encode(text)) || ':' || text, '-') as body, coalesce(octet_length(encode(seen)) || ':' || seen, '-') as seen from now),
+leaves as (select doc_id, lang, row_number() over (partition by lang order by doc_id) - 1 as pos,
+    count(*) over (partition by lang) as n, sha256(head || body) as leaf, sha256(head || seen) as found from said),
+tree as (select lang, 0 as lv, pos, n, leaf as digest from leaves
+  union all
+  select lang, lv + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' order by pos)) from tree where n > 1
+  group by lang, lv, pos // 8, n),
+subroots as (select lang, digest, row_number() over (order by lang nulls first) - 1 as pos, count(*) over () as n from tree where n = 1),
+top as (select 0 as lv, pos, n, digest from subroots
+  union all
+  select lv + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' order by pos)) from top where n > 1 group by lv, pos // 8, n),
+ways as (
+  select l.doc_id, t.lv, string_agg(t.digest, '' order by t.pos) filter (t.pos < (l.pos >> 3 * t.lv)) as a,
+    string_agg(t.digest, '' order by t.pos) filter (t.pos > (l.pos >> 3 * t.lv)) as b
+  from leaves l join tree t on t.lang is not distinct from l.lang and t.n > 1 and t.pos // 8 = (l.pos >> 3 * t.lv) // 8
+  group by l.doc_id, t.lv
+  union all
+  select l.doc_id, 100 + t.lv, string_agg(t.digest, '' order by t.pos) filter (t.pos < (s.pos >> 3 * t.lv)),
+    string_agg(t.digest, '' order by t.pos) filter (t.pos > (s.pos >> 3 * t.lv))
+  from leaves l join subroots s on s.lang is not distinct from l.lang join top t on t.n > 1 and t.pos // 8 = (s.pos >> 3 * t.lv) // 8
+  group by l.doc_id, t.lv),
+path as (select doc_id, coalesce(a, '') as a, coalesce(b, '') as b, row_number() over (partition by doc_id order by lv) as step from ways),
+folded as (select doc_id, 0::bigint as step, found as digest from leaves
+  union all
+  select f.doc_id, p.step, sha256(p.a || f.digest || p.b) from folded f join path p on p.doc_id = f.doc_id and p.step = f.step + 1),
+ends as (select doc_id, arg_max(digest, step) as folded_root from folded group by doc_id),
+proofs as (select doc_id, sha256(string_agg(a || b, '' order by step)) as proof_sha256 from path group by doc_id)
+select l.doc_id, leaf, s.digest as subroot, r.digest as root, coalesce(proof_sha256, sha256('')) as proof_sha256, folded_root,
+  folded_root = r.digest as verified
+from leaves l join subroots s on s.lang is not distinct from l.lang cross join (select digest from top where n = 1) r
+join ends using (doc_id) left join proofs using (doc_id)""")
+def _(spark, sf):
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    seen = F.when(changed, F.translate("text", capitals, capitals.lower())).otherwise(F.col("text"))
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    out = manifest.step_manifest(
+        table(spark, sf, "documents"), id="doc_id", group="lang", fields=[*fields, "text"], found=[*map(F.col, fields), seen]
+    )
+    return out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES, ORACLES = plans.queries, plans.oracles
