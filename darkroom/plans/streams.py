@@ -9,12 +9,14 @@ from darkroom.operators import folds
 from darkroom.plans.registry import Registry
 from darkroom.plans.tables import STEPS_SQL, steps, table
 from darkroom.streaming import progress as ops
+from darkroom.streaming import sequential
+from darkroom.streaming.landing import land
 
 plans = Registry()
 
 
-def events(spark, sf):
-    return steps(spark, sf).select("job_id", F.col("id").alias("seq"), "state", "at")
+def events(spark, sf, stream=False):
+    return steps(spark, sf, stream).select("job_id", F.col("id").alias("seq"), "state", "at")
 
 
 EVENTS = STEPS_SQL + """, ev as (select job_id, id as seq, state, "at" as t from steps)"""
@@ -71,6 +73,11 @@ def _(spark, sf):
     return ops.until_terminal(events(spark, sf)).select("job_id", "seq", "state")
 
 
+@plans.add("st4_until_terminal_stream", plans.oracles["st4_until_terminal"])
+def _(spark, sf):
+    return land(ops.until_terminal_stream(events(spark, sf, stream=True)).select("job_id", "seq", "state"))
+
+
 @plans.add("st5_stalled_jobs", f"""with {EVENTS}, m as (select job_id, max(seq) as seq from ev group by job_id)
   select ev.job_id, ev.seq, ev.state, (epoch_us(timestamp '{NOW}') - epoch_us(t)) / 1000000.0 as idle_seconds
   from ev join m on m.job_id = ev.job_id and m.seq = ev.seq where state not in ('done', 'failed', 'cancelled')
@@ -90,10 +97,18 @@ def _(spark, sf):
     case when used <= 3 then 3 - used else 0 end::bigint as remaining,
     case when used <= 3 then 0 else greatest((((stop - t) // 1000) + 500) // 1000, 1) end::bigint as retry_after from f""")
 def _(spark, sf):
-    asked = table(spark, sf, "events").select(
+    return folds.rate_limit(requests(spark, sf), 3, 86400.0).drop("at")
+
+
+def requests(spark, sf, stream=False):
+    return table(spark, sf, "events", stream).select(
         F.col("user_id").alias("identity"), F.col("event_id").alias("id"), F.col("ts").alias("at")
     )
-    return folds.rate_limit(asked, 3, 86400.0).drop("at")
+
+
+@plans.add("st6_rate_limit_stream", plans.oracles["st6_rate_limit"])
+def _(spark, sf):
+    return land(sequential.rate_limit_stream(requests(spark, sf, stream=True), 3, 86400.0).drop("at"))
 
 
 @plans.add("st7_breaker_state", """with recursive e as (select user_id as u, event_id as id, epoch_us(ts) as t,
@@ -113,11 +128,19 @@ def _(spark, sf):
     from f join e on e.u = f.u and e.rn = f.rn + 1)
   select u as provider, id, skipped, opened, n::bigint as failures_in_a_row from f""")
 def _(spark, sf):
-    calls = table(spark, sf, "events").select(
+    return folds.breaker_state(calls(spark, sf), 3, 86400.0).drop("at", "ok")
+
+
+def calls(spark, sf, stream=False):
+    return table(spark, sf, "events", stream).select(
         F.col("user_id").alias("provider"), F.col("event_id").alias("id"), F.col("ts").alias("at"),
         F.col("event_type").isin("purchase", "signup").alias("ok"),
     )
-    return folds.breaker_state(calls, 3, 86400.0).drop("at", "ok")
+
+
+@plans.add("st7_breaker_stream", plans.oracles["st7_breaker_state"])
+def _(spark, sf):
+    return land(sequential.breaker_stream(calls(spark, sf, stream=True), 3, 86400.0).drop("at", "ok"))
 
 
 LEGAL = """(values ('queued','planning'),('queued','cancelled'),('queued','failed'),

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """One parquet table; zoneless timestamps become session-zone ones."""
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
+def table(spark: SparkSession, sf: str, name: str, stream: bool = False) -> DataFrame:
+    """One parquet table; zoneless timestamps become session-zone ones. With ``stream``, read as one."""
+    path = f"{sf}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if stream:
+        # as a pattern, because a stream reads single files by pattern only
+        df = spark.readStream.schema(df.schema).parquet(f"{sf}/{name}[.]parquet")
     zoneless = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
 
@@ -20,10 +24,10 @@ STATE_OF = {
 }
 
 
-def steps(spark: SparkSession, sf: str) -> DataFrame:
+def steps(spark: SparkSession, sf: str, stream: bool = False) -> DataFrame:
     """Events as job steps; a job is what one user did on one day."""
     states = F.create_map(*[F.lit(p) for pair in STATE_OF.items() for p in pair])
-    return table(spark, sf, "events").select(
+    return table(spark, sf, "events", stream).select(
         F.col("event_id").alias("id"),
         F.concat(F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("job_id"),
         F.col("user_id"),

@@ -111,20 +111,34 @@ class Latest(StatefulProcessor):
 
 
 class UntilTerminal(StatefulProcessor):
-    """Passes a job's events through until its first final one."""
+    """Passes a job's events through until its first final one.
+
+    That a job has ended is remembered until the watermark is ``forget_seconds`` past its end.
+    """
+
+    def __init__(self, forget_seconds: float):
+        self.forget = int(forget_seconds * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.ended = handle.getValueState("ended", "seq bigint")
 
     def handleInputRows(self, key, rows, timerValues):
         if self.ended.exists():
             return
-        batch = _ordered(rows, ["seq"])
-        last = batch["state"].isin(TERMINAL_STATES).to_numpy().argmax()
-        if batch["state"].iloc[last] in TERMINAL_STATES:
-            batch = batch.iloc[: last + 1]
-            self.ended.update((int(batch["seq"].iloc[-1]),))
-        yield batch
+        held = list(rows)
+        ends = [r for r in held if r["state"] in TERMINAL_STATES]
+        if ends:
+            last = min(ends, key=lambda r: r["seq"])
+            held = [r for r in held if r["seq"] <= last["seq"]]
+            self.ended.update((last["seq"],))
+            at = timerValues.getCurrentWatermarkInMs() if last["at"] is None else int(last["at"].timestamp() * 1000) + 1
+            self.handle.registerTimer(at + self.forget)
+        yield from sorted(held, key=lambda r: r["seq"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.ended.clear()
+        yield from ()
 
     def close(self) -> None:
         pass
@@ -172,9 +186,12 @@ def latest_event_stream(events: DataFrame, ttl_seconds: float = fixed.EVENT_TTL_
     )
 
 
-def until_terminal_stream(events: DataFrame) -> DataFrame:
-    return events.groupBy("job_id").transformWithStateInPandas(
-        UntilTerminal(), _schema(events), "Append", "None"
+def until_terminal_stream(
+    events: DataFrame, forget_seconds: float = fixed.EVENT_TTL_SECONDS, late: str = "10 minutes"
+) -> DataFrame:
+    """``until_terminal`` on a stream. Events of a job that come after it has been forgotten pass again."""
+    return events.withWatermark("at", late).groupBy("job_id").transformWithState(
+        UntilTerminal(forget_seconds), events.schema, "Append", "EventTime"
     )
 
 
