@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from darkroom.functions import fixed, policy
 from darkroom.operators.ordered import BLOCK_ROWS, by_sequence, join_null_safe, scan
-from darkroom.operators.ranks import exact_percentile, exact_percentiles, ordinal_rank
+from darkroom.operators.ranks import ordinal_rank
+from darkroom.operators.selection import exact_percentile, exact_percentiles
 
 
 def share(test: Column) -> Column:
@@ -176,9 +177,7 @@ def planner_summary(results: DataFrame) -> DataFrame:
     splits = cube.where(asked).groupBy(F.col("split").alias("name")).agg(
         (F.sum("right") / F.sum("n")).alias("value")
     ).select(F.lit("by_split").alias("section"), "name", "value")
-    medians = exact_percentile(
-        results.where(rule | model), ["route"], "seconds", "value", few_groups=True
-    ).select(F.lit("seconds").alias("section"), F.concat("route", F.lit("_median")).alias("name"), "value")
+    medians = exact_percentile(results.where(rule | model), ["route"], "seconds", "value").select(F.lit("seconds").alias("section"), F.concat("route", F.lit("_median")).alias("name"), "value")
     return long.unionByName(routes).unionByName(splits).unionByName(medians)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from darkroom.functions import fixed
 from darkroom.operators.ordered import BLOCK_ROWS, by_sequence, by_time, first_per_key, join_null_safe, scan
-from darkroom.operators.ranks import exact_percentile
+from darkroom.operators.selection import exact_quantiles
 
 ORDER = ["id"]
 
@@ -188,10 +188,8 @@ def job_wait(
         )
     )
     counts = waited.groupBy("outcome").agg(F.count(F.lit(1)).alias("jobs"))
-    half = exact_percentile(waited, ["outcome"], "seconds", "p50", 0.5)
-    most = exact_percentile(waited, ["outcome"], "seconds", "p90", 0.9)
-    with_half = join_null_safe(counts, half, ["outcome"], "left")
-    return join_null_safe(with_half, most, ["outcome"], "left")
+    parts = exact_quantiles(waited, ["outcome"], "seconds", {"p50": 0.5, "p90": 0.9})
+    return join_null_safe(counts, parts, ["outcome"], "left")
 
 
 def provider_health(calls: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from darkroom.functions import fixed
 from darkroom.operators.ordered import top_per_key
-from darkroom.operators.ranks import exact_percentile
+from darkroom.operators.selection import exact_percentile
 
 
 def top_candidates(

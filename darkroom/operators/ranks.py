@@ -1,15 +1,17 @@
-"""Whole-table ranks and exact percentiles without a single-task sort."""
+"""Whole-table ranks without a single-task sort."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from darkroom.operators.ordered import join_null_safe
+from darkroom.operators.selection import exact_percentile, exact_percentiles, exact_quantiles
 from darkroom.session import cut_lineage
 
+__all__ = ["exact_percentile", "exact_percentiles", "exact_quantiles", "ordinal_rank", "spearman"]
+
 
 def ordinal_rank(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
     """0-based position of every row in ``order``.
@@ -57,73 +59,3 @@ def spearman(df: DataFrame, x: str, y: str, tie: Sequence[str], name: str = "rho
         .otherwise(1.0 - 6.0 * F.col("__d2") / (n * (n * n - 1.0)))
         .alias(name),
     )
-
-
-def exact_percentiles(df: DataFrame, columns: Mapping[str, Column | str], p: float = 0.5) -> DataFrame:
-    """One row with the exact percentile of several columns, in the two passes one column takes."""
-    as_column = lambda c: F.col(c) if isinstance(c, str) else c
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(name).alias("__what"), as_column(c).cast("double").alias("__v"))
-        for name, c in columns.items()
-    ])))
-    each = exact_percentile(long, ["__what"], "__v", "__p", p, few_groups=True)
-    return each.agg(*[F.max(F.when(F.col("__what") == n, F.col("__p"))).alias(n) for n in columns])
-
-
-def exact_percentile(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: Column | str,
-    name: str,
-    p: float = 0.5,
-    accuracy: int = 10_000,
-    few_groups: bool = False,
-) -> DataFrame:
-    """Exact interpolated percentile per key, nulls ignored.
-
-    ``percentile`` keeps every distinct value of a key in one buffer. Here a bounded sketch
-    brackets the answer first; values are pre-counted, those below the bracket collapse to one
-    row per key, those above are dropped, and only the sliver inside is ordered. ``few_groups``
-    promises that the keys take a handful of values, fixed by the caller.
-    """
-    keys = list(keys)
-    column = F.col(value) if isinstance(value, str) else value
-    group = keys or ["__all"]
-    base = df if keys else df.withColumn("__all", F.lit(0))
-    x = base.select(*group, column.cast("double").alias("__x")).where(F.col("__x").isNotNull())
-    margin = 2.0 / accuracy
-    ends = [max(p - margin, 0.0), min(p + margin, 1.0)]
-    sketch = x.groupBy(*group).agg(
-        F.percentile_approx("__x", ends, accuracy).alias("__ends"),
-        F.count(F.lit(1)).alias("__n"),
-    )
-    # A sketch of one row, or of a fixed handful, meets the rows before any shuffle. Otherwise the
-    # values are counted first, which sends each task's distinct values on once.
-    met = (
-        join_null_safe(x.groupBy(*group, "__x").agg(F.count(F.lit(1)).alias("__c")), sketch, group)
-        if keys and not few_groups
-        else join_null_safe(x.withColumn("__c", F.lit(1).cast("bigint")), F.broadcast(sketch), group)
-    )
-    small = F.col("__n") <= accuracy  # the bracket is counted in ranks, so few rows need none
-    inside = (
-        met.where(small | (F.col("__x") <= F.col("__ends")[1]))
-        .withColumn("__y", F.when(small | (F.col("__x") >= F.col("__ends")[0]), F.col("__x")))
-        .groupBy(*group, "__y", "__n")
-        .agg(F.sum("__c").alias("__c"))
-    )
-    upto = (
-        Window.partitionBy(*group)
-        .orderBy(F.col("__y").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    at = (F.col("__n") - 1) * F.lit(p)
-    low = F.min(F.when(F.col("__upto") > F.floor(at), F.col("__y")))
-    high = F.min(F.when(F.col("__upto") > F.ceil(at), F.col("__y")))
-    out = (
-        inside.withColumn("__upto", F.sum("__c").over(upto))
-        .groupBy(*group)
-        .agg(low.alias("__low"), high.alias("__high"), F.max(at - F.floor(at)).alias("__f"))
-        .withColumn(name, F.col("__low") + (F.col("__high") - F.col("__low")) * F.col("__f"))
-        .drop("__low", "__high", "__f")
-    )
-    return out if keys else out.drop("__all")
