@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from darkroom.functions import fixed, policy
@@ -263,8 +263,7 @@ def carry_incumbent(
     """
     kept = passes.withColumn("kept", F.col("delta") < 0)
     carried = scan(
-        kept, [key], list(order), by_sequence(order[0], heavy_rows),
-        heavy_rows=heavy_rows,
+        kept, [key], list(order), heavy_rows=heavy_rows,
         last_value={"__cost": F.when(F.col("kept"), F.col("cost"))},
     )
     return carried.withColumn("cost_after", F.coalesce("__cost", F.col("start_cost"))).drop("__cost")
@@ -313,19 +312,29 @@ def review_summary(reviews: DataFrame) -> DataFrame:
     return counted.withColumn("sentence", sentence)
 
 
-def rank_variants(results: DataFrame, case: str) -> DataFrame:
-    """Position of each variant: best IoU first, cheaper first on ties, shared when equal."""
-    # Positions in one whole-table order; a shared rank is the first position of equal variants,
-    # counted from the first position of the case. No case is ordered in one task.
-    # A missing IoU counts as 0. Null cases and costs are values like others.
-    scored = results.withColumn("__iou", F.coalesce("iou", F.lit(0.0)))
-    placed = ordinal_rank(scored, [case, F.col("__iou").desc(), "cost"], "__at")
-    first = placed.groupBy(case, "__iou", "cost").agg(F.min("__at").alias("__first"))
-    start = first.groupBy(case).agg(F.min("__first").alias("__start"))
-    ranked = join_null_safe(first, start, [case]).select(
-        case, "__iou", "cost", (F.col("__first") - F.col("__start") + 1).alias("rank")
-    )
-    return join_null_safe(placed.drop("__at"), ranked, [case, "__iou", "cost"]).drop("__iou")
+def rank_variants(results: DataFrame, case: str, heavy_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Position of each variant: best IoU first, cheaper first on ties, shared when equal.
+
+    A missing IoU counts as 0. Null cases and costs are values like others. A case of more than
+    ``heavy_rows`` variants is put in order over the whole cluster, equal variants included, and the
+    first position of equal ones is carried along it.
+    """
+    scored = results.withColumns({"__worse": -F.coalesce("iou", F.lit(0.0)), "__h": F.xxhash64(case)})
+    heavy = scored.groupBy("__h").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > heavy_rows)
+    within = F.rank().over(Window.partitionBy(case).orderBy("__worse", "cost")).cast("bigint")
+    if heavy.isEmpty():
+        return scored.withColumn("rank", within).drop("__worse", "__h")
+    marked = scored.join(heavy.select("__h", F.lit(True).alias("__heavy")), "__h", "left").drop("__h")
+    light = marked.where("__heavy IS NULL").withColumn("rank", within).drop("__heavy")
+    # equal variants differ in their tie-breaker, so a range shuffle can part them
+    large = marked.where("__heavy").drop("__heavy").withColumn("__tie", F.monotonically_increasing_id())
+    placed = ordinal_rank(large, [case, "__worse", "cost", "__tie"], "__at")
+    block, one = by_sequence("__at", heavy_rows), F.lit(1).cast("bigint")
+    pair = F.struct("__worse", "cost")
+    numbered = scan(placed, [case], ["__at"], block, previous={"__was": pair}, running_sum={"__place": one}, heavy_rows=heavy_rows)
+    opens = F.when(~F.col("__was").eqNullSafe(pair), F.col("__place"))
+    ranked = scan(numbered, [case], ["__at"], block, last_value={"rank": opens}, heavy_rows=heavy_rows)
+    return light.unionByName(ranked.select(*light.columns)).drop("__worse")
 
 
 def changed_fraction(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from darkroom.functions import fixed
-from darkroom.operators.ordered import BLOCK_ROWS, by_sequence, by_time, first_per_key, join_null_safe, scan
+from darkroom.operators.ordered import BLOCK_ROWS, by_sequence, first_per_key, join_null_safe, scan
 from darkroom.operators.selection import exact_quantiles
 
 ORDER = ["id"]
@@ -96,15 +96,11 @@ def illegal_transitions(steps: DataFrame, heavy_rows: int = BLOCK_ROWS) -> DataF
     ).select("job_id", "id", "from_state", F.col("state").alias("to_state"))
 
 
-def artifacts_in_order(
-    artifacts: DataFrame, block_seconds: float = 86_400.0, heavy_rows: int = BLOCK_ROWS
-) -> DataFrame:
+def artifacts_in_order(artifacts: DataFrame, heavy_rows: int = BLOCK_ROWS) -> DataFrame:
     """Every job's artifacts with their position by (created_at, id)."""
     return scan(
-        artifacts.withColumn("__one", F.lit(1).cast("bigint")),
-        ["job_id"], ["created_at", "id"], by_time("created_at", block_seconds),
-        heavy_rows=heavy_rows,
-        running_sum={"position": F.col("__one")},
+        artifacts.withColumn("__one", F.lit(1).cast("bigint")), ["job_id"], ["created_at", "id"],
+        heavy_rows=heavy_rows, running_sum={"position": F.col("__one")},
     ).drop("__one")
 
 

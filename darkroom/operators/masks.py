@@ -22,36 +22,51 @@ def rle_encode(pixels: DataFrame, masks: DataFrame, block_rows: int = 1 << 20) -
 
     ``pixels`` lists every pixel (mask_id, x, y, v) and ``masks`` the sizes. A mask whose first
     pixel is set opens with an empty clear run.
+
+    Pixels become words of 64 bits, which every task builds of the pixels it has and which merge by
+    a bitwise or; runs are read off a word by its turns, and only words meet at their ends.
     """
-    flat = pixels.join(masks.select("mask_id", "height"), "mask_id").select(
-        "mask_id",
-        (F.col("x").cast("bigint") * F.col("height") + F.col("y")).alias("i"),
-        (F.col("v") != 0).alias("on"),
-    )
-    block = by_sequence("i", block_rows)
-    seen = scan(flat, ["mask_id"], ["i"], block, previous={"was": F.col("on")},
-                heavy_rows=block_rows)
-    # From here on there is one row per run, not per pixel, and the pixels are not read again.
-    starts = cut_lineage(
-        seen.where(F.col("was").isNull() | (F.col("on") != F.col("was"))).select("mask_id", "i", "on")
+    i = F.col("x").cast("bigint") * F.col("height") + F.col("y")
+    flat = pixels.join(masks.select("mask_id", "height"), "mask_id").select("mask_id", i.alias("i"), (F.col("v") != 0).alias("on"))
+    words = flat.groupBy("mask_id", F.shiftright("i", 6).alias("word")).agg(
+        F.bit_or(F.when(F.col("on"), F.expr("shiftleft(1L, cast(i & 63 as int))")).otherwise(F.lit(0).cast("bigint"))).alias("bits")
+    )
+    block = by_sequence("word", block_rows)
+    seen = scan(words, ["mask_id"], ["word"], block, previous={"was": F.col("bits") < 0}, heavy_rows=block_rows)
+    # bit j is set in turns where pixel j differs from the one before it; the first pixel always opens a run
+    before = F.expr("shiftleft(bits, 1)").bitwiseOR(F.coalesce("was", F.lit(False)).cast("bigint"))
+    opens = F.when(F.col("was").isNull(), F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+    size = masks.select("mask_id", (F.col("width").cast("bigint") * F.col("height")).alias("all"))
+    turning = seen.join(size, "mask_id").select("mask_id", "word", "all", "bits", F.col("bits").bitwiseXOR(before).bitwiseOR(opens).alias("turns"))
+    at = F.filter(
+        F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: F.col("word") * 64 + j),
+        lambda k: (F.expr("turns").bitwiseAND(_bit(k)) != 0) & (k < F.col("all")),
     )
+    turned = turning.where("turns <> 0").select("mask_id", "word", "all", "bits", at.alias("starts")).where(F.size("starts") > 0)
+    # the opening turn of a clear first pixel counts no run before it: it is run 0 itself
+    first_clear = (F.get("starts", 0) == 0) & (F.col("bits").bitwiseAND(F.lit(1).cast("bigint")) == 0)
+    turned = turned.withColumn("count", F.size("starts").cast("bigint") - F.when(first_clear, F.lit(1)).otherwise(F.lit(0)))
     paired = scan(
-        starts.withColumn("turn", (F.col("on") | (F.col("i") > 0)).cast("bigint")), ["mask_id"], ["i"],
-        block, following={"next": F.col("i")}, running_sum={"run_no": F.col("turn")},
+        turned, ["mask_id"], ["word"], block, following={"next": F.get("starts", 0)}, running_sum={"upto": F.col("count")},
         heavy_rows=block_rows,
     )
-    whole = masks.select("mask_id", (F.col("width").cast("bigint") * F.col("height")).alias("all"))
-    runs = paired.join(whole, "mask_id").select(
-        "mask_id", "run_no", F.col("i").alias("start"),
-        (F.coalesce("next", "all") - F.col("i")).alias("len"),
-    )
+    end = lambda k: F.coalesce(F.get("starts", k + 1), F.col("next"), F.col("all"))
+    number = lambda k: F.col("upto") - F.size("starts") + k + 1
+    runs = paired.select("mask_id", F.inline(F.transform("starts", lambda s, k: F.struct(
+        number(k).cast("bigint").alias("run_no"), s.alias("start"), (end(k) - s).alias("len")
+    ))))
     none = F.lit(0).cast("bigint")
-    opening = runs.where("start = 0 AND run_no = 1").select(
+    opening = words.where((F.col("word") == 0) & (F.col("bits").bitwiseAND(F.lit(1).cast("bigint")) == 1)).select(
         "mask_id", none.alias("run_no"), none.alias("start"), none.alias("len")
     )
     return runs.unionByName(opening)
 
 
+def _bit(index: Column) -> Column:
+    """The bit of a pixel's number within its word."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), index.bitwiseAND(F.lit(63).cast("bigint")).cast("int"))
+
+
 def pack_runs(runs: DataFrame) -> DataFrame:
     """Runs back to one ``counts`` array per mask. A mask's array is one value by definition."""
     ordered = F.array_sort(F.collect_list(F.struct("run_no", "len")))

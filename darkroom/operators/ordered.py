@@ -23,11 +23,6 @@ def by_sequence(column: str, rows: int = BLOCK_ROWS) -> Column:
     return F.floor(F.col(column) / F.lit(rows)).cast("bigint")
 
 
-def by_time(column: str, seconds: float) -> Column:
-    """Blocks of wall-clock time, for tables ordered by a timestamp."""
-    return F.floor(F.unix_micros(F.col(column)) / F.lit(int(seconds * 1_000_000))).cast("bigint")
-
-
 def mark_heavy(df: DataFrame, keys: Sequence[str], rows: int = BLOCK_ROWS) -> DataFrame:
     """Add ``__heavy``: true on rows of keys with more than ``rows`` rows, null elsewhere.
 
@@ -54,7 +49,7 @@ def scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    block: Column,
+    block: Column | None = None,
     *,
     previous: Mapping[str, Column] | None = None,
     following: Mapping[str, Column] | None = None,
@@ -66,29 +61,76 @@ def scan(
 
     ``previous`` / ``following``: the expression on the row before / after, null at the ends.
     ``running_sum``: inclusive prefix sum. ``last_value``: last non-null value up to this row.
-    ``block`` cuts the keys with more than ``heavy_rows`` rows and must not decrease in order.
+
+    Keys of more than ``heavy_rows`` rows are looked for first. Without any, plain windows answer
+    in one shuffle. The rows of heavy keys are cut into blocks: by ``block``, which must not decrease
+    in order, or, where it is not given, by their counted position, ``heavy_rows`` rows to a block
+    whatever the values of ``order`` are.
     """
     previous, following = dict(previous or {}), dict(following or {})
     running_sum, last_value = dict(running_sum or {}), dict(last_value or {})
     keys, order = list(keys), list(order)
+    inputs = {f"__in_{n}": e for n, e in {**previous, **following, **running_sum, **last_value}.items()}
+    names = [*previous], [*following], [*running_sum], [*last_value]
+    kept = [c for c in df.columns if c not in {n for some in names for n in some}]
+
+    hashed = F.xxhash64(*keys)
+    heavy = df.groupBy(hashed.alias("__h")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > heavy_rows)
+    if heavy.isEmpty():
+        return _windowed(df.withColumns(inputs), keys, order, names, kept)
+    marked = df.withColumns({"__h": hashed, **inputs}).join(
+        heavy.select("__h", F.lit(True).alias("__heavy")), "__h", "left"
+    ).drop("__h")
+    light = _windowed(marked.where("__heavy IS NULL"), keys, order, names, kept)
+    large = marked.where("__heavy")
+    if block is None:
+        from darkroom.operators.ranks import ordinal_rank  # which builds on this module
+
+        large = ordinal_rank(large, [*keys, *order], "__at")
+        order, block = ["__at"], by_sequence("__at", heavy_rows)
+    return light.unionByName(_carried(large.withColumn(BLOCK, block), keys, order, names, kept))
+
+
+def _given(name: str) -> Column:
+    return F.col(f"__in_{name}")
+
+
+def _boxed(name: str) -> Column:
+    """The value inside a struct, so that a null value is not taken for a missing row."""
+    return F.struct(_given(name).alias("v"))
 
-    inputs = {**previous, **following, **running_sum, **last_value}
-    base = mark_heavy(df, keys, heavy_rows).withColumns(
-        {
-            BLOCK: F.when(F.col("__heavy"), block).otherwise(F.lit(0).cast("bigint")),
-            **{f"__in_{n}": e for n, e in inputs.items()},
-        }
-    )
-    value = lambda n: F.struct(F.col(f"__in_{n}").alias("v"))
-    given = lambda n: F.col(f"__in_{n}")
 
-    # What each block of a heavy key leaves behind, and what each one is entered with.
+def _local(by: list[str], order: list[str], names: tuple[list[str], ...]) -> dict[str, Column]:
+    previous, following, running_sum, last_value = names
+    inside = Window.partitionBy(*by).orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return {
+        **{n: F.lag(_boxed(n)).over(inside) for n in previous},
+        **{n: F.lead(_boxed(n)).over(inside) for n in following},
+        **{n: F.sum(_given(n)).over(upto) for n in running_sum},
+        **{n: F.last(_given(n), ignorenulls=True).over(upto) for n in last_value},
+    }
+
+
+def _windowed(
+    rows: DataFrame, keys: list[str], order: list[str], names: tuple[list[str], ...], kept: list[str]
+) -> DataFrame:
+    neighbours = {*names[0], *names[1]}
+    local = _local(keys, order, names)
+    return rows.select(*kept, *[(e["v"] if n in neighbours else e).alias(n) for n, e in local.items()])
+
+
+def _carried(
+    rows: DataFrame, keys: list[str], order: list[str], names: tuple[list[str], ...], kept: list[str]
+) -> DataFrame:
+    """Every block scanned by itself, with what the blocks before and after it hand over."""
+    previous, following, running_sum, last_value = names
     at = F.struct(*[F.col(c) for c in order])
     totals = {
-        **{n: F.max_by(value(n), at) for n in previous},
-        **{n: F.min_by(value(n), at) for n in following},
-        **{n: F.sum(given(n)) for n in running_sum},
-        **{n: F.max_by(given(n), F.when(given(n).isNotNull(), at)) for n in last_value},
+        **{n: F.max_by(_boxed(n), at) for n in previous},
+        **{n: F.min_by(_boxed(n), at) for n in following},
+        **{n: F.sum(_given(n)) for n in running_sum},
+        **{n: F.max_by(_given(n), F.when(_given(n).isNotNull(), at)) for n in last_value},
     }
     along = Window.partitionBy(*keys).orderBy(BLOCK)
     before = along.rowsBetween(Window.unboundedPreceding, -1)
@@ -100,25 +142,15 @@ def scan(
         **{n: F.last(total(n), ignorenulls=True).over(before) for n in last_value},
     }
     carry = (
-        base.where("__heavy").groupBy(*keys, BLOCK)
-        .agg(*[e.alias(f"__t_{n}") for n, e in totals.items()])
+        rows.groupBy(*keys, BLOCK).agg(*[e.alias(f"__t_{n}") for n, e in totals.items()])
         .select(*keys, BLOCK, *[e.alias(f"__c_{n}") for n, e in carries.items()])
     )
-
-    inside = Window.partitionBy(*keys, BLOCK).orderBy(*order)
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = {
-        **{n: F.lag(value(n)).over(inside) for n in previous},
-        **{n: F.lead(value(n)).over(inside) for n in following},
-        **{n: F.sum(given(n)).over(upto) for n in running_sum},
-        **{n: F.last(given(n), ignorenulls=True).over(upto) for n in last_value},
-    }
-    joined = join_null_safe(base.withColumns({f"__l_{n}": e for n, e in local.items()}), carry, [*keys, BLOCK], "left")
+    local = _local([*keys, BLOCK], order, names)
+    joined = join_null_safe(rows.withColumns({f"__l_{n}": e for n, e in local.items()}), carry, [*keys, BLOCK], "left")
     mine, came = (lambda n: F.col(f"__l_{n}")), (lambda n: F.col(f"__c_{n}"))
     out = {n: F.coalesce(mine(n), came(n))["v"] for n in [*previous, *following]}
     out |= {n: F.coalesce(mine(n) + came(n), mine(n), came(n)) for n in running_sum}
     out |= {n: F.coalesce(mine(n), came(n)) for n in last_value}
-    kept = [c for c in df.columns if c not in out]
     return joined.select(*kept, *[e.alias(n) for n, e in out.items()])
 
 
