@@ -101,8 +101,10 @@ SECRET = (
 )
 REQUIRED_HEADERS = ("**Read when:**", "**Solves:**", "**Authority:**")
 HEADER_CHARS = 600
-ROOT_DOC_LINES = 200
-SCOPED_DOC_LINES = 80
+PATH_MENTION = r"`([A-Za-z0-9_./-]+/[A-Za-z0-9_./-]+\.(?:md|py|ts|tsx|json|yml|toml))`"
+COMMAND_MENTION = r"`make ([a-z][a-z0-9-]*)"
+OPEN_ITEM = "Status: open"
+TRIGGER = "**Trigger:**"
 STALE_DAYS = 30
 
 # Scoring.

@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from darkroom.functions import fixed, text
@@ -24,26 +24,14 @@ def _quoted(c: Column) -> Column:
     return F.to_json(c.cast("variant"))
 
 
-def redact(json: Column, depth: int = 3) -> Column:
-    """JSON text with the values of suspicious names hidden, at every level.
-
-    Items of a list are judged by the list's name, objects by their own names. Containers
-    nested more than ``depth`` levels down are hidden whole rather than passed unseen, and so is a
-    text that is no JSON or names a field twice. The text
-    is parsed once; an object's names come out in alphabetical order.
-    """
-    parsed = F.try_parse_json(json)
-    hidden = F.lit(f'"{fixed.REDACTED}"')
-    return F.when(json.isNotNull() & parsed.isNull(), hidden).otherwise(_redacted(parsed, depth))
-
-
 def _redacted(value: Column, depth: int) -> Column:
+    """A variant as JSON with suspicious values hidden; it holds containers ``depth`` levels deep at most."""
     hidden = F.lit(f'"{fixed.REDACTED}"')
-    fields = F.try_variant_get(value, "$", "map<string,variant>")
-    items = F.try_variant_get(value, "$", "array<variant>")
     plain = F.coalesce(F.to_json(value), F.lit("null"))
     if depth == 0:
-        return F.when(fields.isNotNull() | items.isNotNull(), hidden).otherwise(plain)
+        return plain
+    fields = F.try_variant_get(value, "$", "map<string,variant>")
+    items = F.try_variant_get(value, "$", "array<variant>")
 
     def shown(m: Column) -> Column:
         label = F.coalesce(F.concat(_quoted(m["key"]), F.lit(":")), F.lit(""))
@@ -91,10 +79,12 @@ def _hidden(line: str) -> str:
 _SUSPICIOUS = re.compile("|".join(fixed.SUSPICIOUS_NAMES))
 
 
-def redact_all(line: Column) -> Column:
-    """Like ``redact``, with containers followed to any depth and none of them hidden for it.
+def redact(line: Column) -> Column:
+    """JSON text with the values of suspicious names hidden, at every level however deep.
 
-    A text nested deeper than Spark's JSON parser reads (1000 levels) is no JSON here.
+    Items of a list are judged by the list's name, objects by their own names. A text that is no
+    JSON, names a field twice, or is nested deeper than Spark's JSON parser reads (1000 levels) is
+    hidden whole. An object's names come out in alphabetical order.
     """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -107,6 +97,42 @@ def redact_all(line: Column) -> Column:
     return F.when(line.isNotNull() & parsed.isNull(), F.lit(f'"{fixed.REDACTED}"')).otherwise(shown)
 
 
+redact_all = redact
+
+
+def nesting(line: Column) -> Column:
+    """How many brackets are open at once, at most, in a JSON text; 0 for a plain value."""
+    brackets = F.regexp_replace(F.regexp_replace(line, r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]", "")
+    step = lambda a, c: F.struct(
+        (a["open"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("open"),
+        F.greatest(a["most"], a["open"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("most"),
+    )
+    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"))
+    chars = F.filter(F.split(brackets, ""), lambda c: c != "")
+    return F.aggregate(chars, start, step, lambda a: a["most"])
+
+
+def redact_records(records: DataFrame, column: str, levels: int = 24) -> DataFrame:
+    """``records`` with ``column`` redacted as ``redact`` does it, in the JVM.
+
+    One pass finds how deep the texts are nested, and the second walks exactly that deep. Only texts of
+    more than ``levels`` levels go through Python.
+    """
+    deep = nesting(F.col(column))
+    most = records.agg(F.max(deep).alias("most")).first()["most"] or 0
+    parsed = F.try_parse_json(F.col(column))
+    walked = F.when(F.col(column).isNotNull() & parsed.isNull(), F.lit(f'"{fixed.REDACTED}"')).otherwise(
+        _redacted(parsed, min(most, levels))
+    )
+    walked = F.when(F.col(column).isNotNull(), walked)
+    if most <= levels:
+        return records.withColumn(column, walked)
+    shallow = F.coalesce(deep <= levels, F.lit(True))
+    return records.where(shallow).withColumn(column, walked).unionByName(
+        records.where(~shallow).withColumn(column, redact(F.col(column)))
+    )
+
+
 def merge_context(outer: Column, inner: Column, extras: Column) -> Column:
     """One map per log record: the outer context beats the inner one, the record beats both.
 

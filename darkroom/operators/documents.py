@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from darkroom.functions import fixed, text
+from darkroom.operators.ranks import ordinal_rank
+from darkroom.session import cut_lineage
 
 
 def links(docs: DataFrame, body: str = "text") -> DataFrame:
@@ -49,6 +51,61 @@ def broken_links(docs: DataFrame, targets: DataFrame, body: str = "text") -> Dat
     return followed.join(known, "__at", "left_anti").select("target", "path", "mentions")
 
 
+def missing_paths(docs: DataFrame, targets: DataFrame, body: str = "text") -> DataFrame:
+    """Files named in backticks that are not there: target, path and mentions per document.
+
+    A name counts from the top and from the document's folder. Names from the root of a site are no
+    files. ``targets`` lists the paths that exist, generated ones too, from the top.
+    """
+    named = F.regexp_extract_all(F.col(body), F.lit(fixed.PATH_MENTION), F.lit(1))
+    found = docs.select("path", F.explode(named).alias("target")).where(~F.startswith("target", F.lit("/")))
+    mentions = found.groupBy("target", "path").agg(F.count(F.lit(1)).alias("mentions"))
+    known = targets.select(F.ltrim(normal_path(F.col("target")), F.lit("/")).alias("__at")).distinct()
+    folder = F.regexp_replace(F.coalesce(F.col("path").cast("string"), F.lit("")), r"[^/]*$", "")
+    beside = F.ltrim(normal_path(F.concat(folder, "target")), F.lit("/"))
+    lost = mentions.withColumn("__at", normal_path(F.col("target"))).join(known, "__at", "left_anti")
+    return lost.withColumn("__at", beside).join(known, "__at", "left_anti").select("target", "path", "mentions")
+
+
+def unknown_commands(docs: DataFrame, commands: DataFrame, body: str = "text") -> DataFrame:
+    """Commands that documents tell to run and that are no target: command, path and mentions."""
+    named = F.regexp_extract_all(F.col(body), F.lit(fixed.COMMAND_MENTION), F.lit(1))
+    mentions = docs.select("path", F.explode(named).alias("command")).groupBy("command", "path").agg(
+        F.count(F.lit(1)).alias("mentions")
+    )
+    return mentions.join(commands.select("command").distinct(), "command", "left_anti")
+
+
+def undocumented_keys(keys: DataFrame, docs: DataFrame, body: str = "text", together: int = 1000) -> DataFrame:
+    """Registry keys that no document names, by letters and digits alone, in any case.
+
+    ``together`` keys are looked for in one scan of the documents.
+    """
+    flat = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    wanted = cut_lineage(keys.select("key", flat(F.col("key")).alias("__flat")).distinct())
+    every = wanted.select("__flat").where(F.col("__flat").isNotNull()).distinct().withColumn("__id", F.monotonically_increasing_id())
+    placed = ordinal_rank(every, ["__flat", "__id"], "__at")
+    found = None
+    for low in range(0, placed.count(), together):
+        block = placed.where((F.col("__at") >= low) & (F.col("__at") < low + together))
+        names = F.lit([r["__flat"] for r in block.select("__flat").collect()])
+        text_ = docs.select(flat(F.col(body)).alias("__text"))
+        seen = text_.select(F.explode(F.filter(names, lambda n: F.contains(F.col("__text"), n))).alias("__flat")).distinct()
+        found = seen if found is None else found.unionByName(seen)
+    return wanted.select("key") if found is None else wanted.join(found, "__flat", "left_anti").select("key")
+
+
+def open_without_trigger(docs: DataFrame, heading: str, body: str = "text") -> DataFrame:
+    """Open items that say nothing of what would set them off: path and item.
+
+    An item is a section that begins with ``heading``; its name is the rest of that line.
+    """
+    sections = F.split(F.col(body), rf"\Q{heading}\E")
+    items = docs.select("path", F.explode(F.slice(sections, F.lit(2), F.greatest(F.size(sections) - 1, F.lit(0)))).alias("__item"))
+    open_ = F.contains("__item", F.lit(fixed.OPEN_ITEM)) & ~F.contains("__item", F.lit(fixed.TRIGGER))
+    return items.where(open_).select("path", F.trim(F.substring_index("__item", "\n", 1)).alias("item"))
+
+
 def secret_scan(docs: DataFrame, body: str = "text") -> DataFrame:
     """Documents holding something shaped like a credential."""
     return docs.where(F.col(body).rlike(fixed.SECRET))

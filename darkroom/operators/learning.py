@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -112,30 +113,98 @@ def cross_validate(
     """Out-of-fold predictions: each fold is scored by a model fitted on the others.
 
     Scaling is fitted with the model. Where the training rows have one class, the whole table's
-    majority is predicted; a tie counts as class 0.
+    majority is predicted; a tie counts as class 0. All models are fitted together: a Newton step
+    is one pass in which every row adds its gradient and curvature to each model that may see it.
     """
     rows = cut_lineage(df)
-    counts = {r[name]: (r["n"], r["ones"]) for r in rows.groupBy(name).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(label).alias("ones")).collect()}
-    n, ones = sum(c for c, _ in counts.values()), sum(o for _, o in counts.values())
-    majority = int(ones * 2 > n)
-    scored = []
+    columns = list(columns)
+    stats = [e for c in columns for e in (F.avg(c).alias(f"m_{c}"), F.var_pop(c).alias(f"v_{c}"))]
+    per = {r[name]: r for r in rows.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("ones"), *stats).collect()}
+    n, ones = sum(r["n"] for r in per.values()), sum(r["ones"] for r in per.values())
+    majority = float(ones * 2 > n)
+    mean, scale, size = np.zeros((folds, len(columns))), np.ones((folds, len(columns))), np.zeros(folds)
+    fitted = []
     for fold in range(folds):
-        held = rows.where(F.col(name) == fold)
-        mine, mine_ones = counts.get(fold, (0, 0))
-        if 0 < ones - mine_ones < n - mine:
-            fitted = fit_chooser(train_complement(rows, fold, name), columns, label, l2)
-            scored.append(fitted.predict(held))
-        else:
-            scored.append(
-                held.withColumn("probability_1", F.lit(float(majority))).withColumn(
-                    "predicted", F.lit(majority)
-                )
-            )
-    out = scored[0]
-    for part in scored[1:]:
-        out = out.unionByName(part)
-    return out
+        seen = [r for f, r in per.items() if f != fold]
+        size[fold], mine = sum(r["n"] for r in seen), sum(r["ones"] for r in seen)
+        if 0 < mine < size[fold]:
+            fitted.append(fold)
+            share = np.array([r["n"] for r in seen]) / size[fold]
+            means, spreads = (np.array([[r[f"{k}_{c}"] for c in columns] for r in seen]) for k in "mv")
+            mean[fold] = share @ means
+            spread = np.sqrt(share @ (spreads + (means - mean[fold]) ** 2))
+            scale[fold] = np.where(spread >= 1e-9, spread, 1.0)
+    weights = _fit_together(rows, columns, label, name, fitted, mean, scale, size, l2) if fitted else {}
+
+    # each model in terms of the columns as they are, so that a fold's rows are scored by one expression
+    plain = {f: np.append(w[:-1] / scale[f], w[-1] - (w[:-1] * mean[f] / scale[f]).sum()) for f, w in weights.items()}
+    of = lambda i: F.get(F.array(*[F.lit(float(plain[f][i])) if f in plain else F.lit(None).cast("double") for f in range(folds)]), F.col(name).cast("int"))
+    score = sum((of(i) * F.col(c) for i, c in enumerate(columns)), of(len(columns)))
+    chance = F.coalesce(1.0 / (1.0 + F.exp(-score)), F.lit(majority))
+    held = rows.where((F.col(name) >= 0) & (F.col(name) < folds))
+    return held.withColumn("probability_1", chance).withColumn(
+        "predicted", F.when(of(0).isNull(), F.lit(int(majority))).otherwise((F.col("probability_1") >= 0.5).cast("int"))
+    )
+
+
+def _fit_together(
+    rows: DataFrame, columns: list[str], label: str, name: str, folds: list[int], mean: np.ndarray, scale: np.ndarray,
+    size: np.ndarray, l2: float, steps: int = 50, close: float = 1e-10,
+) -> dict[int, np.ndarray]:
+    """Weights and intercept of every fold's model: mean log-loss plus l2 / (2 n) times the squared weights."""
+    width = len(columns) + 1
+    ready = rows.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("x"), F.col(label).cast("double").alias("y"), F.col(name).cast("long").alias("f"))
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        """Per model: loss, gradient and curvature over its training rows, added up by Spark."""
+        def part(batches):
+            import pyarrow as pa
+
+            total = np.zeros((len(folds), 1 + width + width * width))
+            for batch in batches:
+                x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width - 1)
+                y, f = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "f"))
+                for i, fold in enumerate(folds):
+                    use = f != fold
+                    z = np.column_stack([(x[use] - mean[fold]) / scale[fold], np.ones(use.sum())])
+                    raw = z @ w[i]
+                    p = 1 / (1 + np.exp(-np.clip(raw, -500, 500)))
+                    total[i, 0] += (np.logaddexp(0, raw) - y[use] * raw).sum()
+                    total[i, 1:1 + width] += z.T @ (p - y[use])
+                    total[i, 1 + width:] += ((z * (p * (1 - p))[:, None]).T @ z).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(range(total.size), pa.int32()), pa.array(total.ravel())], ["at", "v"])
+
+        added = ready.mapInArrow(part, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
+        out = np.zeros((len(folds), 1 + width + width * width))
+        for r in added:
+            out.flat[r["at"]] = r["v"]
+        return out
+
+    n = size[folds]
+    shrink = np.append(np.full(width - 1, l2), 0.0)
+    w = np.zeros((len(folds), width))
+    last, step = np.full(len(folds), np.inf), np.zeros((len(folds), width))
+    for _ in range(steps):
+        found = sums(w)
+        moved = False
+        for i in range(len(folds)):
+            loss = (found[i, 0] + (shrink * w[i] ** 2).sum() / 2) / n[i]
+            if loss > last[i] + 1e-12:  # the step was too long
+                step[i] /= 2
+                w[i] += step[i]
+                moved = True
+                continue
+            slope = (found[i, 1:1 + width] + shrink * w[i]) / n[i]
+            last[i] = loss
+            if np.abs(slope).max() <= close:
+                continue
+            bend = found[i, 1 + width:].reshape(width, width) / n[i] + np.diag(shrink / n[i] + 1e-12)
+            step[i] = np.linalg.solve(bend, slope)
+            w[i] -= step[i]
+            moved = True
+        if not moved:
+            break
+    return {fold: w[i] for i, fold in enumerate(folds)}
 
 
 def strongest_features(weights: DataFrame, n: int = 5, name: str = "feature") -> DataFrame:

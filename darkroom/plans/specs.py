@@ -182,14 +182,13 @@ def _(spark, sf):
         F.lit(', "session_token": {"v": 1}, "cookie_jar": ["a", 2], "at": ['),
         F.col("event_id").cast("string"), F.lit(', {"password": "p", "ok": true}]}}'),
     ]
-    return table(spark, sf, "events").select(
-        "event_id", payloads.redact_all(F.concat(*parts)).alias("fields")
-    )
+    records = table(spark, sf, "events").select("event_id", F.concat(*parts).alias("fields"))
+    return payloads.redact_records(records, "fields")
 
 
 @plans.add("pv6_redact_props", """select event_id, '{"k":' || json_extract_string(props, '$.k') || '}' as fields from events""")
 def _(spark, sf):
-    return table(spark, sf, "events").select("event_id", payloads.redact_all(F.col("props")).alias("fields"))
+    return payloads.redact_records(table(spark, sf, "events").select("event_id", F.col("props").alias("fields")), "fields")
 
 
 @plans.add("pv7_merge_context", """select doc_id, source as job_id, lang as service, 'record' as level,

@@ -254,6 +254,64 @@ def _(spark, sf):
     return ops.reconcile(index, detail, ["l_linenumber", "l_partkey", "l_suppkey"])
 
 
+PAGE = r"'^https?://([^/?#]+)[^?#]*.*$'"
+
+
+@plans.add("dc1_missing_paths", rf"""with d as (select regexp_extract(url, {PAGE}, 1) || '/' || page_id || '.md' as path, page_id, url,
+    'see `' || regexp_extract(url, {PAGE}, 1) || '/' || (page_id + 1) || '.md`, `' || './' || (page_id // 2) || '.md` and `/top/' || page_id || '.md`' as text from pages),
+  m as (select path, unnest(['' || regexp_extract(url, {PAGE}, 1) || '/' || (page_id + 1) || '.md', './' || (page_id // 2) || '.md']) as target,
+    regexp_replace(path, '[^/]*$', '') as folder from d),
+  there as (select path from d where page_id % 3 <> 0)
+  select target, path, count(*) as mentions from m where regexp_replace(target, '^\./', '') not in (select path from there)
+    and folder || regexp_replace(target, '^\./', '') not in (select path from there) group by target, path""")
+def _(spark, sf):
+    """Pages as documents that name two others each; a third of the files is not there."""
+    host = F.regexp_extract("url", r"^https?://([^/?#]+)[^?#]*.*$", 1)
+    at = lambda number: F.concat(number.cast("string"), F.lit(".md"))
+    docs = table(spark, sf, "pages").select(
+        F.concat(host, F.lit("/"), at(F.col("page_id"))).alias("path"), "page_id",
+        F.concat(F.lit("see `"), host, F.lit("/"), at(F.col("page_id") + 1), F.lit("`, `./"), at(F.floor(F.col("page_id") / 2)),
+                 F.lit("` and `/top/"), at(F.col("page_id")), F.lit("`")).alias("text"),
+    )
+    return ops.missing_paths(docs, docs.where("page_id % 3 <> 0").select(F.col("path").alias("target")))
+
+
+@plans.add("dc2_unknown_commands", """select source as command, doc_id as path, count(*) as mentions from documents
+  where source not like 'src1%' group by source, doc_id""")
+def _(spark, sf):
+    """Documents that tell to run a target named like their source."""
+    docs = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("path"), "source", F.concat("text", F.lit(" `make "), "source", F.lit("`")).alias("text")
+    )
+    return ops.unknown_commands(docs, docs.where(F.col("source").like("src1%")).select(F.col("source").alias("command")))
+
+
+@plans.add("dc3_undocumented_keys", """with docs as (select 'made in ' || replace(n_name, '_', '-') || ' (' || s_name || ')' as text
+    from supplier join nation on s_nationkey = n_nationkey where s_acctbal > 9000)
+  select n_name as key from nation where not exists (select 1 from docs
+    where contains(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g')))""")
+def _(spark, sf):
+    """Nations that no note on a rich supplier names."""
+    nations = table(spark, sf, "nation")
+    notes = table(spark, sf, "supplier").where("s_acctbal > 9000").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    docs = notes.select(F.concat(F.lit("made in "), F.translate("n_name", "_", "-"), F.lit(" ("), "s_name", F.lit(")")).alias("text"))
+    return ops.undocumented_keys(nations.select(F.col("n_name").alias("key")), docs)
+
+
+@plans.add("dc4_open_without_trigger", """select o_custkey as path, o_orderkey || ' - order' as item from orders
+  where o_orderstatus = 'O' and not o_orderpriority like '1%'""")
+def _(spark, sf):
+    """Orders as register items; urgent ones say what sets them off."""
+    orders = table(spark, sf, "orders")
+    docs = orders.select(
+        F.col("o_custkey").alias("path"),
+        F.concat(F.lit("# Register\n### TD-"), F.col("o_orderkey").cast("string"), F.lit(" - order\nStatus: "),
+                 F.when(F.col("o_orderstatus") == "O", "open").otherwise("done"), F.lit("\n"),
+                 F.when(F.col("o_orderpriority").like("1%"), "**Trigger:** now").otherwise("later")).alias("text"),
+    )
+    return ops.open_without_trigger(docs, "### TD-")
+
+
 @plans.add("sc18_secret_scan", f"""select doc_id as path from documents where regexp_matches(text, '{fixed.SECRET}')
   union all select o_orderkey from orders where regexp_matches('id s' || 'k-' || substr(sha256(cast(o_orderkey as varchar)), 1, (o_custkey % 40)::int), '{fixed.SECRET}')""")
 def _(spark, sf):

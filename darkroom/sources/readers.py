@@ -119,29 +119,61 @@ def scan_objects(
     ).where(F.col("digest").rlike(f"^{name}$"))
 
 
+#: The key of each store table, and whether it is a number.
+STORE_KEYS = {
+    "users": ("id", False), "images": ("sha256", False), "jobs": ("id", False), "job_steps": ("id", True),
+    "artifacts": ("id", False), "cost_ledger": ("id", True),
+}
+#: Rows that one task reads from a database.
+ROWS_PER_READ = 500_000
+
+
+def key_ranges(column: str, parts: int) -> list[str]:
+    """SQL conditions that part a text key into ``parts`` ranges; every row meets exactly one of them.
+
+    Keys of the store are digests and random ids in hexadecimal digits, so cuts at even steps of
+    the first four digits give even ranges.
+    """
+    cuts = sorted({format(k * 65536 // parts, "04x") for k in range(1, parts)})
+    if not cuts:
+        return ["1 = 1"]
+    inner = [f"{column} >= '{a}' AND {column} < '{b}'" for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [f"{column} < '{cuts[0]}' OR {column} IS NULL", *inner, f"{column} >= '{cuts[-1]}'"]
+
+
+def read_degree(rows: int, per_read: int = ROWS_PER_READ) -> int:
+    """Tasks that read a table of ``rows`` rows; text keys can be cut into 65 536 ranges."""
+    return max(1, min(-(-rows // per_read), 65_536))
+
+
 def load_store(
     spark: SparkSession, location: str, properties: Mapping[str, str] | None = None,
-    partitions: int = 16,
+    per_read: int = ROWS_PER_READ,
 ) -> dict[str, DataFrame]:
     """The six tables, from a folder of parquet or from a database URL.
 
-    From a database the two numbered tables are read in ``partitions`` id ranges.
+    From a database each table is read by as many tasks as its row count asks for, in ranges of
+    its key: numbered tables by id, the others by the leading digits of their text keys.
     """
     if not location.startswith("jdbc:"):
         return {
             name: spark.read.schema(schema).parquet(f"{location}/{name}")
             for name, schema in STORE.items()
         }
-    reader = lambda name: spark.read.format("jdbc").option("url", location).option(
-        "dbtable", name).option("customSchema", STORE[name]).options(**(properties or {}))
+    given = dict(properties or {})
     tables = {}
-    for name in STORE:
-        source = reader(name)
-        if name in ("job_steps", "cost_ledger"):
-            ends = spark.read.format("jdbc").option("url", location).options(**(properties or {})).option(
-                "query", f"SELECT MIN(id) AS low, MAX(id) AS high FROM {name}").load().first()
-            if ends["low"] is not None:
-                source = source.option("partitionColumn", "id").option("lowerBound", ends["low"]).option(
-                    "upperBound", ends["high"]).option("numPartitions", partitions)
-        tables[name] = source.load()
+    for name, (key, numbered) in STORE_KEYS.items():
+        asked = f"SELECT COUNT(*) AS n, MIN({key}) AS low, MAX({key}) AS high FROM {name}"
+        size = spark.read.format("jdbc").options(url=location, query=asked, **given).load().first()
+        parts = read_degree(int(size["n"]), per_read)
+        options = {**given, "customSchema": STORE[name]}
+        if parts == 1:
+            tables[name] = spark.read.jdbc(location, name, properties=options)
+        elif numbered:
+            tables[name] = spark.read.jdbc(
+                location, name, column=key, lowerBound=size["low"], upperBound=size["high"], numPartitions=parts,
+                properties=options,
+            )
+        else:
+            tables[name] = spark.read.jdbc(location, name, predicates=key_ranges(key, parts), properties=options)
     return tables

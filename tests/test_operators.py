@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 import math
 from datetime import datetime, timedelta
 from pathlib import Path
@@ -138,8 +139,24 @@ def test_redaction_by_name_at_every_level(spark):
               "a": {"b": {"c": {"d": 1}}}, "quote": 'he said "token"'}
     got = json.loads(said(spark, payloads.redact, json.dumps(record))[0])
     hidden = fixed.REDACTED
-    assert got == {**record, "API_Key": hidden, "tokens": hidden, "list": [1, {"cookie": hidden, "ok": "x"}],
-                   "a": {"b": {"c": hidden}}}
+    assert got == {**record, "API_Key": hidden, "tokens": hidden, "list": [1, {"cookie": hidden, "ok": "x"}]}
+
+
+@pytest.mark.parametrize("levels", [3, 24])
+def test_redaction_in_the_jvm_equals_the_helper(spark, levels):
+    r = random.Random(8)
+
+    def made(depth):
+        if depth == 0:
+            return r.choice([1, 2.5, None, True, 'a " [token] {', "back\\slash]", ""])
+        if r.random() < 0.4:
+            return [made(r.randrange(depth)) for _ in range(r.randrange(3))]
+        return {r.choice(["a", "b}", "Key", "x_token", '"q"']): made(depth - 1) for _ in range(r.randrange(1, 4))}
+
+    texts = [json.dumps(made(d % 9)) for d in range(60)] + ["{broken", None, '{"a":1,"a":2}', "null", '"token"', "[]", "{}", "7"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, fields string")
+    want = dict(enumerate(said(spark, payloads.redact, *texts)))
+    assert {x.i: x.fields for x in payloads.redact_records(df, "fields", levels).collect()} == want
 
 
 def test_redaction_keeps_harmless_values_at_any_depth(spark):
