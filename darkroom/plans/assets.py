@@ -129,11 +129,11 @@ def _(spark, sf):
     return assets.stale_items(items, _now()).select("path", "age_days")
 
 
-@plans.add("jn4_pair_assets", """with s as (select l_orderkey as id, l_returnflag as f,
-    max(l_extendedprice) as v from lineitem group by 1, 2)
-  select o_orderkey as id, o_totalprice as image, a.v as truth, r.v as mask, n.v as baseline
-  from orders join s a on a.id = o_orderkey and a.f = 'A' join s r on r.id = o_orderkey and r.f = 'R'
-  left join s n on n.id = o_orderkey and n.f = 'N'""")
+@plans.add("jn4_pair_assets", """with s as (select l_orderkey as id, max(case when l_returnflag = 'A' then l_extendedprice end) as truth,
+    max(case when l_returnflag = 'R' then l_extendedprice end) as mask, max(case when l_returnflag = 'N' then l_extendedprice end) as baseline
+    from lineitem group by l_orderkey)
+  select id, o_totalprice as image, truth, mask, baseline from s join orders on o_orderkey = id
+  where truth is not null and mask is not null""")
 def _(spark, sf):
     lines = table(spark, sf, "lineitem")
 

@@ -79,6 +79,20 @@ def _(spark, sf):
     return rounded(spark.createDataFrame(rows, "feature string, weight double"), 4)
 
 
+@plans.add("ml1_settled", f"select unnest({[*COLUMNS, 'intercept']}) as feature, true as settled")
+def _(spark, sf):
+    """Whether the penalised loss is level at the fitted weights: its slope along each, from all rows."""
+    rows = labelled(spark, sf)
+    fitted = ops.fit_chooser(rows, COLUMNS)
+    error = F.col("probability_1") - F.col("label")
+    parts = zip(COLUMNS, fitted.mean, fitted.scale, strict=True)
+    slopes = [F.avg(error * (F.col(c) - F.lit(m)) / F.lit(s)) + F.lit(fitted.weights[c]) / F.count(F.lit(1)) for c, m, s in parts]
+    names = [F.lit(n) for n in [*COLUMNS, "intercept"]]
+    flat = [(F.abs(e) < 1e-6).alias("settled") for e in [*slopes, F.avg(error)]]
+    one = fitted.predict(rows).agg(F.array(*[F.struct(n.alias("feature"), e) for n, e in zip(names, flat, strict=True)]).alias("rows"))
+    return one.select(F.inline("rows"))
+
+
 @plans.add("ml1_predictions")
 def _(spark, sf):
     """Every document scored by that model."""
@@ -93,6 +107,16 @@ def _(spark, sf):
     return rounded(scored.select("id", "label", "fold", "probability_1", "predicted"), 4)
 
 
+@plans.add("ml2_out_of_fold", f"""with {FOLDED} select f.id, f.label, f.fold, true as sound from folded f
+  join documents d on d.doc_id = f.id""")
+def _(spark, sf):
+    """Every labelled document once, with its fold, and whether its prediction follows from its chance."""
+    folded = ops.stratified_folds(labelled(spark, sf), "id", "label", FOLDS)
+    scored = ops.cross_validate(folded, COLUMNS, FOLDS)
+    p = F.col("probability_1")
+    return scored.select("id", "label", "fold", ((p > 0) & (p < 1) & (F.col("predicted") == (p >= 0.5).cast("int"))).alias("sound"))
+
+
 @plans.add("ag17_learned_chooser")
 def _(spark, sf):
     """The chooser report over out-of-fold predictions."""
