@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from darkroom.llm.vocab import blocks, encoder
 from darkroom.session import cut_lineage
 
-PIECE = "id long, piece int, start long, length long, ids binary, sequence_id long, offset long, part int, rank long"
+PIECE = "piece int, start long, length long, ids binary, sequence_id long, offset long, part int, rank long"
 PLACED = ["id", "piece", "start", "length", "ids", "sequence_id", "offset"]
 
 
@@ -80,9 +80,12 @@ def pack_prompts(
     exactly goes into one last filling over all of them. That one needs only how many pieces
     each length has, so its plan is as small as ``room`` whatever the table.
 
-    A null prompt is empty and has its end id only. Null and repeated ids are packed like others.
+    A null prompt is empty and has its end id only. Ids keep their type. Null and repeated ids are packed like others.
     An empty table gives no rows.
     """
+    kind_of = prompts.schema[id].dataType.simpleString()
+    piece = f"id {kind_of}, {PIECE}"
+
     def place(batches):
         import pyarrow as pa
         from pyspark import TaskContext
@@ -91,12 +94,12 @@ def pack_prompts(
         tail = struct.pack("<I", end)
         waiting: dict[int, list] = {}
         left: dict[int, int] = {}
-        held = 0
+        held, ids_of = 0, None
 
         def table(out):
             return pa.RecordBatch.from_arrays([
                 pa.array([x[k] for x in out], kind)
-                for k, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))
+                for k, kind in enumerate((ids_of, pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))
             ], [*PLACED, "part", "rank"])
 
         def settle():
@@ -130,21 +133,23 @@ def pack_prompts(
             for i in range(0, len(out), 1000):
                 yield table(out[i:i + 1000])
 
-        for docs, texts in blocks(batches, "id", "text"):
-            for doc, ids in zip(docs, enc.encode(texts), strict=True):
-                ids += tail
-                n = len(ids) // 4
-                cuts = [0, *range(n % room or room, n, room), n]
-                for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    waiting.setdefault(b - a, []).append((doc, k, a, b - a, ids[4 * a:4 * b]))
-                    held += 1
-            if held >= window:
-                yield from settle()
+        for batch in batches:
+            ids_of = batch.schema.field("id").type
+            for docs, texts in blocks([batch], "id", "text", most=2_000_000):
+                for doc, ids in zip(docs, enc.encode(texts), strict=True):
+                    ids += tail
+                    n = len(ids) // 4
+                    cuts = [0, *range(n % room or room, n, room), n]
+                    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                        waiting.setdefault(b - a, []).append((doc, k, a, b - a, ids[4 * a:4 * b]))
+                        held += 1
+                        if held >= window:
+                            yield from settle()
         yield from settle()
         yield from rest()
 
-    rows = prompts.select(F.col(id).cast("long").alias("id"), F.col(prompt).cast("string").alias("text"))
-    pieces = cut_lineage(rows.mapInArrow(place, PIECE))
+    rows = prompts.select(F.col(id).alias("id"), F.col(prompt).cast("string").alias("text"))
+    pieces = cut_lineage(rows.mapInArrow(place, piece))
     placed = pieces.where(F.col("sequence_id").isNotNull())
     left = pieces.where(F.col("sequence_id").isNull())
     # at most one row per length reaches the driver
@@ -181,4 +186,4 @@ def pack_prompts(
     earlier = F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")
     ranked = left.join(sizes.select("part", "length", earlier.alias("earlier")), ["part", "length"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("earlier")).drop("earlier")
-    return placed.select(*PLACED).unionByName(ranked.select(*PLACED[:5], "rank").mapInArrow(assign, ", ".join(PIECE.split(", ")[:7])))
+    return placed.select(*PLACED).unionByName(ranked.select(*PLACED[:5], "rank").mapInArrow(assign, ", ".join(piece.split(", ")[:7])))

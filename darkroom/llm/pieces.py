@@ -144,19 +144,21 @@ def encode_phrases(phrases: DataFrame, model_file: str, id: str = "id", phrase:
 
     Whole phrases are encoded, at about 4
     million characters of a batch at a time. Null and empty phrases have no ids and decode to the
-    empty text. Repeated rows are encoded each. An empty table gives no rows.
+    empty text. Ids keep their type. Repeated rows are encoded each. An empty table gives no rows.
     """
     def run(batches):
         import pyarrow as pa
 
         model = pieces(model_file)
-        for ids, texts in blocks(batches, "id", "text", most=4_000_000):
-            coded = model.encode(texts)
-            decoded = model.library.decode(coded, num_threads=1) if coded else []
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(coded, pa.list_(pa.int32())), pa.array(decoded, pa.string())],
-                ["id", "ids", "decoded"],
-            )
-
-    rows = phrases.select(F.col(id).cast("long").alias("id"), F.col(phrase).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, ids array<int>, decoded string")
+        for batch in batches:
+            ids_of = batch.schema.field("id").type
+            for ids, texts in blocks([batch], "id", "text", most=4_000_000):
+                coded = model.encode(texts)
+                decoded = model.library.decode(coded, num_threads=1) if coded else []
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, ids_of), pa.array(coded, pa.list_(pa.int32())), pa.array(decoded, pa.string())],
+                    ["id", "ids", "decoded"],
+                )
+
+    rows = phrases.select(F.col(id).alias("id"), F.col(phrase).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"id {phrases.schema[id].dataType.simpleString()}, ids array<int>, decoded string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import Window as W
 
 from darkroom.llm.vocab import blocks, encoder
 
-MAGIC = b"DRG1"
+MAGIC = b"DRG2"
 FILE = "part int, before long, docs long, ids long, body binary"
 
 
@@ -91,19 +92,22 @@ class TokenFile:
 
         self.rules = take("<u4", 2 * n_rules).reshape(-1, 2).astype(np.int64)
         self.sizes = np.concatenate([np.ones(self.vocabulary, np.int64), take("<u8", n_rules).astype(np.int64)])
-        self.ids, self.known = take("<i8", n_docs), take("u1", n_docs).astype(bool)
+        named = struct.unpack_from("<q", body, at)[0]
+        at += 8
+        self.ids: list[int | str | None] = json.loads(body[at:at + named])
+        at += named
         self.ends = np.cumsum(take("<u4", n_docs).astype(np.int64))
         self.lengths = take("<u4", n_docs).astype(np.int64)
         self.symbols = take(f"<u{width}", n_symbols)
 
     @staticmethod
-    def pack(doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray, vocabulary: int, **how) -> bytes:
+    def pack(doc_ids: list[int | str | None], ids: np.ndarray, lengths: np.ndarray, vocabulary: int, **how) -> bytes:
         symbols, per, rules, sizes = compress(ids, np.cumsum(lengths), vocabulary, **how)
         width = 2 if vocabulary + len(rules) <= 1 << 16 else 4
+        names = json.dumps(doc_ids).encode()
         return MAGIC + struct.pack("<5q", vocabulary, len(doc_ids), len(rules), len(symbols), width) + b"".join([
             rules.astype("<u4").tobytes(), sizes.astype("<u8").tobytes(),
-            np.array([0 if x is None else x for x in doc_ids], "<i8").tobytes(),
-            np.array([x is not None for x in doc_ids], "u1").tobytes(),
+            struct.pack("<q", len(names)), names,
             per.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), symbols.astype(f"<u{width}").tobytes(),
         ])
 
@@ -118,11 +122,11 @@ class TokenFile:
         before = int(upto[a - 1]) if a else 0
         return expand(symbols[a:b + 1], self.rules, self.vocabulary)[start - before:stop - before]
 
-    def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
+    def documents(self) -> Iterator[tuple[int | str | None, np.ndarray]]:
         every = expand(self.symbols, self.rules, self.vocabulary)
         at = 0
-        for doc, known, n in zip(self.ids.tolist(), self.known.tolist(), self.lengths.tolist(), strict=True):
-            yield (doc if known else None), every[at:at + n]
+        for doc, n in zip(self.ids, self.lengths.tolist(), strict=True):
+            yield doc, every[at:at + n]
             at += n
 
 
@@ -135,7 +139,8 @@ def write_token_files(
     Rows are dealt by ranges of id, so shard order is id order: (part, before) ascending, where
     ``before`` counts the ids that the same task wrote earlier. A shard
     holds about ``shard_ids`` ids; a longer document has a shard of its own. Equal ids are ordered
-    by text, nulls come first, a null prompt has only the end id. Whole prompts are encoded.
+    by text, nulls come first, a null prompt has only the end id. Whole prompts are encoded. Ids are
+    integers or texts. Repeated rows are written each. An empty table leaves a folder without shards.
     """
     def shards(batches):
         import pyarrow as pa
@@ -153,7 +158,7 @@ def write_token_files(
                 {"part": pa.array([part], pa.int32()), "before": [before], "docs": [len(docs)], "ids": [len(ids)], "body": pa.array([body], pa.binary())}
             )
 
-        for ids, texts in blocks(batches, "id", "text"):
+        for ids, texts in blocks(batches, "id", "text", most=2_000_000):
             for doc, body in zip(ids, enc.encode(texts), strict=True):
                 docs.append(doc)
                 held.append(body + tail)
@@ -165,14 +170,14 @@ def write_token_files(
         if docs:
             yield out()
 
-    rows = prompts.select(F.col(id).cast("long").alias("id"), F.col(prompt).cast("string").alias("text"))
+    rows = prompts.select(F.col(id).alias("id"), F.col(prompt).cast("string").alias("text"))
     rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(shards, FILE).write.parquet(path)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+def read_token_files(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     """``id, start, ids``: every document of the files; ``start`` counts the ids of all before it.
 
-    ``ids`` is the document's ids as little-endian unsigned 32-bit integers.
+    ``id_type`` is ``long`` or ``string``, as the ids were written. ``ids`` is the document's ids as little-endian unsigned 32-bit integers.
     """
     files = spark.read.schema(FILE).parquet(path)
     parts = files.groupBy("part").agg(F.sum("ids").alias("n"))
@@ -189,18 +194,18 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     out.append((doc, at, ids.astype("<u4").tobytes()))
                     at += len(ids)
                     if len(out) == 500:
-                        yield _rows(pa, out)
+                        yield _rows(pa, out, id_type)
                         out = []
                 if out:
-                    yield _rows(pa, out)
+                    yield _rows(pa, out, id_type)
 
     return files.select("part", "before", "body").join(F.broadcast(bases), "part").mapInArrow(
-        documents, "id long, start long, ids binary"
+        documents, f"id {id_type}, start long, ids binary"
     )
 
 
-def _rows(pa, out):
+def _rows(pa, out, id_type):
     return pa.RecordBatch.from_arrays(
-        [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())],
+        [pa.array([x[0] for x in out], pa.string() if id_type == "string" else pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())],
         ["id", "start", "ids"],
     )

@@ -1,16 +1,23 @@
-"""Token ids of texts, with one cache per Python worker.
+"""Token ids of texts, with one bounded cache per Python worker.
 
 Encoding is split where the tokenizer splits anyway: before a single space between two visible
 characters. Every distinct stretch goes through the ``tokenizers`` library and is remembered for a
-while; texts with other white space next to a space are encoded whole.
+while; texts with other white space next to a space, or with an added token, are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
-
-#: Stretches in one worker's young cache; when it is full it becomes the old one.
-REMEMBERED = 200_000
+import re
+
+#: Where the tokenizer parts a text whatever stands around it.
+GAP = re.compile(r"(?<=\S) (?=\S)")
+#: Characters of a text that are encoded at a time.
+PASSAGE = 1_000_000
+#: Characters of stretches in one worker's young cache; when it is full it becomes the old one.
+REMEMBERED = 2_000_000
+#: Longer stretches are not remembered.
+LONGEST = 40
 #: Stretches that the library sees in one text.
 TOGETHER = 2_000
 
@@ -22,10 +29,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        #: None stands for a stretch that is empty or has white space at an end.
-        self.young: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
+        #: Texts holding one of these are encoded whole.
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
         # a byte-level vocabulary spells every byte as one character, so an id's length is its bytes
         self.sizes = np.zeros(self.model.get_vocab_size(), np.int64)
         for token, i in self.model.get_vocab().items():
@@ -37,60 +45,78 @@ class Encoder:
         done = self.model.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in done]
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode new stretches, each with the space before it, many in one text."""
-        import numpy as np
-
-        known = self.young
-        plain = []
-        for w in words:
-            if not w or w[0].isspace() or w[-1].isspace():
-                known[w] = None
-            else:
-                plain.append(w)
+    def _learned(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of new stretches, each with the space before it; none for those with white space at an end."""
+        plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
+        known: dict[str, bytes] = {}
         for i in range(0, len(plain), TOGETHER):
-            some = plain[i:i + TOGETHER]
-            ids = np.array(self.model.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            upto = np.cumsum(self.sizes[ids])
-            ends = np.cumsum([len(w.encode()) + 1 for w in some])
-            cuts = np.searchsorted(upto, ends)
-            if len(ids) == 0 or (upto[cuts.clip(max=len(ids) - 1)] != ends).any():  # never, unless the vocabulary parts otherwise
-                known.update(zip(some, self._library([" " + w for w in some]), strict=True))
-                continue
-            raw, at = ids.tobytes(), 0
-            for w, c in zip(some, (4 * (cuts + 1)).tolist(), strict=True):
-                known[w] = raw[at:c]
-                at = c
+            known.update(self._joined(plain[i:i + TOGETHER]))
+        return known
+
+    def _joined(self, some: list[str]) -> dict[str, bytes]:
+        """Many stretches in one text for the library, cut apart again by the bytes its ids spell."""
+        import numpy as np
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+        ids = np.array(self.model.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+        upto = np.cumsum(self.sizes[ids])
+        ends = np.cumsum([len(w.encode()) + 1 for w in some])
+        cuts = np.searchsorted(upto, ends)
+        if len(ids) == 0 or (upto[cuts.clip(max=len(ids) - 1)] != ends).any():  # never, unless the vocabulary parts otherwise
+            return dict(zip(some, self._library([" " + w for w in some]), strict=True))
+        raw, at, known = ids.tobytes(), 0, {}
+        for w, c in zip(some, (4 * (cuts + 1)).tolist(), strict=True):
+            known[w] = raw[at:c]
+            at = c
+        return known
+
+    def _long(self, text: str) -> bytes:
+        """A very long text passage by passage, cut where it parts anyway."""
+        out, at, lead = [], 0, ""
+        skip = len(self._library(["a"])[0])
+        while at < len(text):
+            cut = GAP.search(text, at + PASSAGE)
+            end = cut.start() if cut else len(text)
+            # later passages begin with their space, so a letter is put before it and its id taken off
+            out.append(self.encode([lead + text[at:end]], whole_texts=True)[0][skip if lead else 0:])
+            at, lead = end, "a"
+        return b"".join(out)
+
+    def encode(self, texts: list[str | None], whole_texts: bool = False) -> list[bytes]:
         """The ids of every text as little-endian unsigned 32-bit integers; a null is empty."""
-        if len(self.young) > REMEMBERED:
-            self.young, self.old = {}, self.young
+        if not whole_texts:
+            large = {i: self._long(t) for i, t in enumerate(texts) if t and len(t) > 2 * PASSAGE and not any(a in t for a in self.added)}
+            if large:
+                rest = iter(self.encode([t for i, t in enumerate(texts) if i not in large]))
+                return [large[i] if i in large else next(rest) for i in range(len(texts))]
+        if self.held > REMEMBERED:
+            self.young, self.old, self.held = {}, self.young, 0
         young, old = self.young, self.old
-        parts = [t.split(" ") if t else None for t in texts]
-        new = set()
-        for words in parts:
-            if words is not None:
-                for w in words[1:]:
-                    if w not in young:
-                        if w in old:
-                            young[w] = old[w]
-                        else:
-                            new.add(w)
-        self._learn(list(new))
-        heads = {w[0] for w in parts if w is not None}
+        whole = [bool(t) and any(a in t for a in self.added) for t in texts]
+        parts = [t.split(" ") if t and not w else [] for t, w in zip(texts, whole, strict=True)]
+        missing = set().union(*(p[1:] for p in parts)).difference(young)
+        again = {w for w in missing if w in old}
+        young.update((w, old[w]) for w in again)
+        learned = self._learned(missing - again)
+        young.update(learned)
+        long = [w for w in learned if len(w) > LONGEST]
+        heads = {p[0] for p in parts if p}
         first = dict(zip(heads, self._library(list(heads)), strict=True))
-        out: list[bytes] = []
+        of, out = young.__getitem__, []
         for text, words in zip(texts, parts, strict=True):
-            if words is None:
+            if not text:
                 out.append(b"")
                 continue
-            found = [young[w] for w in words[1:]]
-            head = words[0]
-            if None in found or not head or head[-1].isspace():
-                out.append(self._library([text])[0])
-            else:
-                out.append(first[head] + b"".join(found))
+            head = words[0] if words else ""
+            if head and not head[-1].isspace():
+                try:
+                    out.append(first[head] + b"".join(map(of, words[1:])))
+                    continue
+                except KeyError:  # a stretch that is empty or has white space at an end
+                    pass
+            out.append(self._library([text])[0])
+        for w in long:
+            del young[w]
+        self.held += sum(map(len, again)) + sum(len(w) for w in learned if len(w) <= LONGEST)
         return out
 
 
