@@ -137,20 +137,23 @@ def upsert_jobs(current: DataFrame, incoming: DataFrame, seq: str) -> tuple[Data
     it first; another owner's save, or an unnamed one, is rejected. The last accepted save replaces the row.
     """
     fields = [c for c in current.columns if c not in ("id", "user_id")]
-    claim = incoming.groupBy("id").agg(F.min_by("user_id", seq).alias("__first"))
-    owners = claim.join(
-        current.select("id", F.col("user_id").alias("__holder")), "id", "left"
-    ).select("id", F.coalesce("__holder", "__first").alias("__owner"))
-    judged = incoming.join(owners, "id")
-    rejected = judged.where(~F.col("user_id").eqNullSafe(F.col("__owner"))).drop("__owner")
-    saved = (
-        judged.where(F.col("user_id").eqNullSafe(F.col("__owner")))
-        .groupBy("id")
-        .agg(F.max_by(F.struct("user_id", *fields), F.col(seq)).alias("__new"))
+    # what each saver did to each job; nothing else of the saves is needed to settle it
+    summed = incoming.groupBy("id", "user_id").agg(
+        F.min(seq).alias("__began"), F.max_by(F.struct("user_id", *fields), F.col(seq)).alias("__last")
     )
-    merged = current.join(saved, "id", "full_outer")
-    pick = lambda c: F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c))
-    jobs = merged.select("id", *[pick(c).alias(c) for c in ["user_id", *fields]])
+    held = current.select("id", F.struct("user_id", *fields).alias("__held"))
+    mine = F.when(F.col("user_id").eqNullSafe(F.col("__held.user_id")), F.col("__last"))
+    settled = summed.join(held, "id", "full_outer").groupBy("id").agg(
+        F.any_value("__held", True).alias("__held"), F.min_by("__last", "__began").alias("__first"),
+        F.any_value(mine, True).alias("__mine"), F.count("__began").alias("__savers"),
+    )
+    # without a holder the first saver owns the job, and its last save stands
+    named = F.col("__held.user_id").isNotNull()
+    owner = F.coalesce(F.col("__held.user_id"), F.col("__first.user_id"))
+    new = F.when(named, F.coalesce("__mine", "__held")).otherwise(F.coalesce("__first", "__held"))
+    jobs = settled.select("id", new.alias("__new")).select("id", "__new.*")
+    owners = settled.where("__savers > 0").select("id", owner.alias("__owner"))
+    rejected = incoming.join(owners, "id").where(~F.col("user_id").eqNullSafe(F.col("__owner"))).drop("__owner")
     return jobs, rejected
 
 

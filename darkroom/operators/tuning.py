@@ -132,25 +132,33 @@ def adopt_if_better(
     The fitted gate is used only when it beats the default on the held-out split. Needs split.
     Under ``least`` observations nothing is fitted.
     """
-    every = sorted({*gates, default})
+    every = sorted({float(g) for g in (*gates, default)})
     counted = _counted(observations, every, "split")
-    part = lambda name: counted.where(F.col("split") == name)
-    one = F.lit(1).alias("__one")
-    tried = _curve(part("fit"), every, 4).where(F.col("gate").isin([float(g) for g in gates]))
-    fitted = best_gate(tried).select(F.col("gate").alias("best_gate"), F.col("score").alias("best_fit"), one)
-    held = _curve(part("holdout"), every, None)
-    at_best = fitted.join(
-        held.select(F.col("gate").alias("best_gate"), F.col("score").alias("holdout_at_best")), "best_gate"
-    )
-    at_default = held.where(F.col("gate") == default).select(
-        F.col("score").alias("holdout_at_default"), one
+    # both curves are read off one small table of slots, in one window and one aggregate
+    pairs = _every_slot(observations, every).select("slot", F.explode(F.array(F.lit("fit"), F.lit("holdout"))).alias("split"))
+    rows = pairs.join(counted, ["slot", "split"], "full_outer").fillna(0, ["n", "a", "b"])
+    order = Window.partitionBy("split").orderBy("slot")
+    under = order.rowsBetween(Window.unboundedPreceding, -1)
+    over = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    total = F.sum("a").over(over) + F.coalesce(F.sum("b").over(under), F.lit(0.0))
+    mean = total / F.nullif(F.sum("n").over(Window.partitionBy("split")), F.lit(0))
+    curve = rows.select(
+        "split", "n", F.get(F.array(*[F.lit(g) for g in every]), F.col("slot") - 1).alias("gate"), mean.alias("mean")
     )
+    raw = F.coalesce("mean", F.lit(0.0))
+    score = F.coalesce(rounded_half_even(F.col("mean"), 4), F.lit(0.0))
+    tried = (F.col("split") == "fit") & F.col("gate").isin([float(g) for g in gates])
     size = lambda name: F.coalesce(F.sum(F.when(F.col("split") == name, F.col("n"))), F.lit(0))
-    sizes = counted.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), size("fit").alias("fit"),
-        size("holdout").alias("holdout"), one,
+    held = F.when((F.col("split") == "holdout") & F.col("gate").isNotNull(), F.struct("gate", raw.alias("mean")))
+    row = curve.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), size("fit").alias("fit"), size("holdout").alias("holdout"),
+        F.max_by(F.struct("gate", score.alias("score")), F.when(tried, F.struct(score, -F.col("gate")))).alias("__best"),
+        F.map_from_entries(F.collect_list(held)).alias("__held"),
+    ).select(
+        "n", "fit", "holdout", F.col("__best.gate").alias("best_gate"), F.col("__best.score").alias("best_fit"),
+        F.try_element_at("__held", F.col("__best.gate")).alias("holdout_at_best"),
+        F.try_element_at("__held", F.lit(float(default))).alias("holdout_at_default"),
     )
-    row = sizes.join(at_best, "__one", "left").join(at_default, "__one", "left").drop("__one")
     better = (F.col("n") >= least) & (F.col("holdout_at_best") > F.col("holdout_at_default"))
     return row.withColumn("adopted", F.coalesce(better, F.lit(False))).withColumn(
         "gate", F.when(F.col("adopted"), F.col("best_gate")).otherwise(F.lit(default))
