@@ -90,6 +90,19 @@ UNSUPPORTED = (
     "background and upscale."
 )
 
+# Why an instruction took its route.
+NO_RULE = "no rule matched and no model was available"
+NOT_HERE = "{op} has no implementation here"
+RULE_MATCHED = "matched a rule"
+
+# What a run says against its baseline, and what a user reads of a review.
+MISSING_CASE = "in the baseline but not in this run"
+NEW_CASE = "not in the baseline; record it if intended"
+IMAGE_CHANGED = "the result changed (distance {moved})"
+WIDENED = "checked, widened the selection {retries}x, and accepted the result"
+STOPPED = "checked; out of budget, returning the best attempt"
+CHECKED = "checked the result"
+
 # Leading words ignored when two subjects are compared, dropped once each in this order.
 SUBJECT_ARTICLES = ("the ", "a ", "an ", "my ", "this ", "that ")
 

@@ -112,9 +112,9 @@ def route_instructions(
         F.when(op.isNull(), F.lit(fixed.UNCLEAR))
         .when(~known, F.concat(F.lit(before), op, F.lit(after)))
         .alias("question"),
-        F.when(op.isNull(), F.lit("no rule matched and no model was available"))
-        .when(~known, F.concat(op, F.lit(" has no implementation here")))
-        .otherwise(F.lit("matched a rule"))
+        F.when(op.isNull(), F.lit(fixed.NO_RULE))
+        .when(~known, F.replace(F.lit(fixed.NOT_HERE), F.lit("{op}"), op))
+        .otherwise(F.lit(fixed.RULE_MATCHED))
         .alias("reason"),
     )
 

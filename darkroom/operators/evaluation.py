@@ -207,8 +207,8 @@ def baseline_diff(baseline: DataFrame, current: DataFrame) -> DataFrame:
     )
     no, yes = F.lit(False), F.lit(True)
     found = [
-        ("missing", F.col("__now").isNull(), F.lit("in the baseline but not in this run"), yes),
-        ("new", F.col("__was").isNull(), F.lit("not in the baseline; record it if intended"), no),
+        ("missing", F.col("__now").isNull(), F.lit(fixed.MISSING_CASE), yes),
+        ("new", F.col("__was").isNull(), F.lit(fixed.NEW_CASE), no),
         ("status", paired & ~was("status").eqNullSafe(now("status")),
          F.concat(shown(was("status")), F.lit(" -> "), shown(now("status"))),
          was("status").eqNullSafe("ok")),
@@ -218,7 +218,7 @@ def baseline_diff(baseline: DataFrame, current: DataFrame) -> DataFrame:
          F.concat(F.lit("IoU "), arrow(was("bbox_iou"), now("bbox_iou"), "0.000")), yes),
         ("image", paired & (was("signature") != "") & (now("signature") != "")
          & (moved > fixed.SIGNATURE_TOLERANCE),
-         F.concat(F.lit("the result changed (distance "), fixed_point(moved, "0.000"), F.lit(")")), no),
+         F.replace(F.lit(fixed.IMAGE_CHANGED), F.lit("{moved}"), fixed_point(moved, "0.000")), no),
         ("route", paired & ~was("passes").eqNullSafe(now("passes")),
          F.concat(shown(was("passes")), F.lit(" -> "), shown(now("passes"))), no),
     ]
@@ -302,12 +302,10 @@ def review_summary(reviews: DataFrame) -> DataFrame:
     sentence = (
         F.when(
             (F.col("retries") > 0) & (F.col("action") == "accept"),
-            F.concat(F.lit("checked, widened the selection "), F.col("retries").cast("string"),
-                     F.lit("x, and accepted the result")),
+            F.replace(F.lit(fixed.WIDENED), F.lit("{retries}"), F.col("retries").cast("string")),
         )
-        .when(F.col("action") == "stop",
-              F.lit("checked; out of budget, returning the best attempt"))
-        .otherwise(F.lit("checked the result"))
+        .when(F.col("action") == "stop", F.lit(fixed.STOPPED))
+        .otherwise(F.lit(fixed.CHECKED))
     )
     return counted.withColumn("sentence", sentence)
 
