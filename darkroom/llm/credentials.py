@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from darkroom.llm.vocab import blocks
+from darkroom.session import cut_lineage
 
 #: The base rules, in the order in which kinds are listed.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -164,7 +165,8 @@ def fit_formats(steps: DataFrame, id: str = "id", detail: str = "detail", exampl
             )
 
     rows = steps.select(F.col(id).cast("long").alias("id"), F.col(detail).cast("string").alias("text"))
-    found = rows.mapInArrow(find, "kind string, value string, key long").distinct()
+    # written once: the three samples below are then taken without reading the texts again
+    found = cut_lineage(rows.mapInArrow(find, "kind string, value string, key long").distinct())
     by_kind = {k: [] for k in KINDS[:3]}
     for kind in by_kind:  # a bounded number of rows of each rule reaches the driver
         by_kind[kind] = [r["value"] for r in found.where(F.col("kind") == kind).orderBy("key", "value").limit(examples).collect()]
@@ -209,7 +211,8 @@ def hide_secrets(
 ) -> DataFrame:
     """``steps`` with every secret of ``detail`` replaced by ``mark``; all columns and rows stay.
 
-    Overlapping spans are hidden as one. A null detail stays null.
+    Overlapping spans are hidden as one. A null detail stays null, an empty one empty; repeated
+    rows are treated each, details of any length whole, and an empty table gives no rows.
     """
     learned = fit_formats(steps, id, detail) if formats is None else formats
 
@@ -221,10 +224,11 @@ def hide_secrets(
             texts = []
             for value in batch.column(at):
                 text = value.as_py()
-                spans = all_spans(text, learned) if text else []
-                for a, b in reversed(_merged(spans)):
-                    text = text[:a] + mark + text[b:]
-                texts.append(text)
+                parts, at_char = [], 0
+                for a, b in _merged(all_spans(text, learned) if text else []):
+                    parts += [text[at_char:a], mark]
+                    at_char = b
+                texts.append("".join([*parts, text[at_char:]]) if parts else text)
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
     return steps.mapInArrow(hide, steps.schema)
@@ -243,10 +247,13 @@ def _merged(spans):
 def all_spans(text: str, learned: list[Automaton]) -> list[tuple[str, int, int, float]]:
     """The base spans and those of learned formats, in order of start and kind."""
     spans = base_spans(text)
-    taken = [(a, b) for _, a, b, _s in spans]
+    # candidates and base spans are both walked once, in order
+    taken, at = _merged(sorted(spans, key=lambda s: s[1])), 0
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if any(a < y and x < b for x, y in taken):
+        while at < len(taken) and taken[at][1] <= a:
+            at += 1
+        if at < len(taken) and taken[at][0] < b:
             continue
         shaped = shape(m[0])
         if "d" not in shaped or not set(shaped) & set("xlU"):
