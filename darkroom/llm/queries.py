@@ -33,7 +33,14 @@ def _(spark, sf):
     return out.withColumnsRenamed({"id": "doc_id", "detail_sha256": "text_sha256"})
 
 
-@plans.add("op2_substring_dedup")
+@plans.add("op2_substring_dedup", r"""
+with w as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as ws from documents),
+words as (select doc_id, unnest(range(1, len(ws) + 1)) as i, unnest(ws) as word, len(ws) as k from w),
+spans as (select doc_id, i, word, case when i + 19 <= k then string_agg(word, ' ') over (partition by doc_id order by i rows between current row and 19 following) end as s from words),
+starts as (select *, s is not null and row_number() over (partition by s order by doc_id, i) > 1 as again from spans),
+marked as (select doc_id, i, word, bool_or(again) over (partition by doc_id order by i rows between 19 preceding and current row) as gone from starts),
+kept as (select doc_id, count(*) as n, count(*) filter (gone) as g, string_agg(word, ' ' order by i) filter (not gone) as t from marked group by doc_id)
+select doc_id, coalesce(n, 0) as n_words, coalesce(g, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from w left join kept using (doc_id)""")
 def _(spark, sf):
     out = passages.repeated_passages(steps(spark, sf))
     return out.select(
@@ -75,7 +82,35 @@ def _(spark, sf):
     )
 
 
-@plans.add("op6_quality_rules")
+@plans.add("op6_quality_rules", r"""
+with t as (select doc_id, lang, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from documents),
+words as (select doc_id, unnest(range(1, len(ws) + 1)) as i, unnest(ws) as word, len(ws) as k from t),
+grams as (select doc_id, i, case when i + 2 <= k then word || ' ' || lead(word) over o || ' ' || lead(word, 2) over o end as g
+    from words window o as (partition by doc_id order by i)),
+twice as (select doc_id, i, g is not null and count(*) over (partition by doc_id, g) > 1 as hit from grams),
+covered as (select doc_id, bool_or(hit) over (partition by doc_id order by i rows between 2 preceding and current row) as c from twice),
+repeats as (select doc_id, count(*) filter (c) as n from covered group by doc_id),
+counts as (select doc_id, lang, source, len(ws) as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) as word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols, len(ls) as n_lines,
+    len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(n, 0) as n_repeat_words from t left join repeats using (doc_id)),
+long as (select doc_id, lang, source, unnest(['word_size', 'symbols', 'dup_lines', 'repeats']) as ratio, unnest([
+    case when n_words > 0 then 1000 * word_chars // n_words end, case when word_chars > 0 then 1000 * n_symbols // word_chars end,
+    case when n_lines > 0 then 1000 * n_dup_lines // n_lines end, case when n_words > 0 then 1000 * n_repeat_words // n_words end]) as v, n_words from counts),
+fine as (select lang, source, ratio, (v >> greatest(length(bin(v)) - 10, 0)) << greatest(length(bin(v)) - 10, 0) as bucket, count(*) as n
+  from long where n_words > 0 and v is not null group by all),
+levels as (select true as own, lang, source, ratio, bucket, n from fine
+  union all select false, lang, null, ratio, bucket, sum(n) from fine group by lang, ratio, bucket),
+ranked as (select *, sum(n) over (partition by own, lang, source, ratio order by bucket) as upto, sum(n) over (partition by own, lang, source, ratio) as total from levels),
+eighths as (select own, lang, source, ratio, max(total) as total, min(bucket) filter (upto * 8 >= total) as e1, min(bucket) filter (upto * 8 >= total * 2) as e2,
+  min(bucket) filter (upto * 8 >= total * 6) as e6, min(bucket) filter (upto * 8 >= total * 7) as e7 from ranked group by all),
+fences as (select own, lang, source, ratio, case when e6 > e2 then e2 - (e6 - e2) * 4 else e1 - (e2 - e1) * 4 end as low,
+  case when e6 > e2 then e6 + (e6 - e2) * 4 else e7 + (e7 - e6) * 4 end as high from eighths where total >= 50),
+judged as (select doc_id, bool_or(coalesce(v > coalesce(a.high, b.high) or (l.ratio = 'word_size' and v < coalesce(a.low, b.low)), false)) as outside
+  from long l left join fences a on a.own and a.ratio = l.ratio and a.lang is not distinct from l.lang and a.source is not distinct from l.source
+  left join fences b on not b.own and b.ratio = l.ratio and b.lang is not distinct from l.lang group by doc_id)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not outside as kept from counts join judged using (doc_id)""")
 def _(spark, sf):
     return quality.judge_quality(steps(spark, sf)).withColumnRenamed("id", "doc_id")
 
@@ -99,7 +134,17 @@ def _(spark, sf):
     )
 
 
-@plans.add("op9_similar")
+@plans.add("op9_similar", r"""
+with recursive w as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+'), []) as ws from documents),
+shingles as (select distinct doc_id, unnest(case when len(ws) >= 3 then list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))
+    when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as s from w),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+shared as (select a.doc_id as x, b.doc_id as y, count(*) as c from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+links as (select x, y from shared join sizes a on a.doc_id = x join sizes b on b.doc_id = y where 100 * c >= 90 * (a.n + b.n - c)),
+reach as (select doc_id as a, doc_id as b from w union select a, y from reach join links on x = b)
+select doc_id, coalesce(n, 0) as n_shingles, component_id from w left join sizes using (doc_id)
+  join (select a as doc_id, min(b) as component_id from reach group by a) using (doc_id)""")
 def _(spark, sf):
     rows = prompts(spark, sf).withColumnRenamed("prompt", "instruction")
     return similar.similar_instructions(rows, words=3, share=(90, 100)).select(

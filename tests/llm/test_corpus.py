@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from darkroom.llm import archive, credentials, packing, passages, pieces, quality, runs, severity, similar, tokens
+from darkroom.llm import archive, credentials, packing, passages, pieces, quality, runs, severity, similar, tokens, vocab
 from darkroom.llm.vocab import Encoder
+from darkroom.llm.words import Words
 from darkroom.session import scratch_dir
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -97,6 +101,23 @@ def test_repeated_passages(steps, empty, monkeypatch, crowded, shard):
         assert passages.repeated_passages(empty).collect() == []
 
 
+def thue_morse(n, flip=0):
+    """Words that sums of powers modulo 2^64 cannot tell from their complements."""
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+def test_words_that_fool_running_sums_differ(spark):
+    one, two = thue_morse(1024), thue_morse(1024, 1)
+    around = prose(19, 77).split()
+    rows = [(1, " ".join([one, *around])), (2, " ".join([two, *around])), (3, " ".join([one, *around])), (4, one), (5, two), (6, two.upper())]
+    df = spark.createDataFrame(rows, "id long, detail string")
+    assert {r.id: r.n_removed for r in passages.repeated_passages(df).collect()} == {1: 0, 2: 0, 3: 20, 4: 0, 5: 0, 6: 0}
+    got = similar.similar_instructions(df, instruction="detail", words=3, share=(90, 100)).collect()
+    assert {r.id: r.component_id for r in got} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 5}
+    w = Words(["a" * 511, "a" * 512, "a" * 513, "b" * 513, "aaaaaaaa", "aaaaaaa", "aaaaaaaaa", "b" + "a" * 513])
+    assert len(set(w.hash.tolist())) == 8
+
+
 def test_backward_search_counts_patterns():
     r = np.random.default_rng(3)
     text = np.append(r.integers(1, 6, 400), 0)
@@ -126,6 +147,37 @@ def test_secret_spans(spark, empty):
     assert credentials.secret_spans(empty).collect() == []
 
 
+def plain_base(text):
+    """The fixed rules, written anew: (kind, start, end)."""
+    name = r"[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]"
+    out = [("assign", m.start(), m.end()) for m in re.finditer(r"(" + name + r")[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[2]) >= 6]
+    out += [("access", m.start(), m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    return out + [("hex", m.start(), m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+
+
+def test_spans_equal_a_plain_search(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(1000, None), (1001, ""), (1002, "token=" + "ab1" * 9 + " AKIA" + "Z9" * 10 + " " + "0f" * 14), (1003, "api_KEY : 'x1y2z3' passwd=short")]
+    df = spark.createDataFrame(rows, "id long, detail string")
+    learned = credentials.fit_formats(df)
+    got = {r.id: [(s.kind, s.start, s.end) for s in r.spans] for r in credentials.secret_spans(df, formats=learned).collect()}
+    for i, text in rows:
+        base = plain_base(text or "")
+        more = []
+        for m in credentials.CANDIDATE.finditer(text or ""):
+            a, b = m.span()
+            shaped = credentials.shape(m[0])
+            mixed = "d" in shaped and set(shaped) & set("xlU")
+            if mixed and not any(a < y and x < b for _, x, y in base) and any(f.score(shaped) >= f.least for f in learned):
+                more.append(("learned", a, b))
+        assert sorted(got[i]) == sorted(base + more)
+
+
+def test_many_spans_are_walked_once():
+    digests = " ".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(40_000))
+    assert len(credentials.all_spans(digests, [])) == 40_000  # square work would not end
+
+
 def test_automaton_prefers_its_language():
     a = credentials.infer(["xd" * k for k in range(3, 9) for _ in range(20)])
     assert len(a.moves) < 18 and a.score("xdxdxdxd") > -1 and a.score("xx") == -np.inf
@@ -134,9 +186,8 @@ def test_automaton_prefers_its_language():
 def test_token_files(spark, steps, empty):
     path = scratch_dir(spark, "test-tokens")
     tokens.write_token_files(steps, path, BPE, prompt="detail", shard_ids=2000)
-    got = tokens.read_token_files(spark, path).orderBy("start").collect()
-    enc = Encoder(BPE)
-    plain = lambda t: enc.model.encode(t or "", add_special_tokens=False).ids + [2]
+    got, model = tokens.read_token_files(spark, path).orderBy("start").collect(), fresh()
+    plain = lambda t: model.encode(t or "", add_special_tokens=False).ids + [2]
     rows = sorted(awkward(), key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, (x[1] or "").encode()))
     at = 0
     for r, (i, t) in zip(got, rows, strict=True):
@@ -159,11 +210,43 @@ def test_token_file_random_access():
         assert file.read(2, a, b).tolist() == docs[2][a:b].tolist() and file.read(4, a, b).tolist() == docs[4][a:b].tolist()
 
 
-def test_encoder_equals_library():
-    enc = Encoder(BPE)
-    texts = [t for _, t in awkward()] + ["a  b", " lead", "trail ", "a \n b", "it's  I'll", "x　 y", "<|endoftext|> z", "tab\t x", "new\nline two"]
-    for _ in range(2):
-        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [enc.model.encode(t or "", add_special_tokens=False).ids for t in texts]
+def fresh():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(BPE)
+
+
+def test_encoder_equals_library(monkeypatch):
+    enc, model = Encoder(BPE), fresh()
+    texts = [t for _, t in awkward()] + ["a  b", " lead", "trail ", "a \n b", "it's  I'll", "x　 y", "<|endoftext|> z", "tab\t x", "new\nline two", "a <|endoftext|> z", "a <|endoftext|>"]
+    for remembered, passage in ((2_000_000, 1_000_000), (50, 100), (0, 7)):
+        monkeypatch.setattr(vocab, "REMEMBERED", remembered)
+        monkeypatch.setattr(vocab, "PASSAGE", passage)
+        for _ in range(2):
+            assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [model.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert 50256 in np.frombuffer(enc.encode(["a <|endoftext|> z"])[0], "<u4")
+
+
+def test_records_named_by_text(spark):
+    """Evaluation results, phrases and artifacts of the project have text ids."""
+    rows = [("case-2", "remove the red lamp"), ("case-1", "add a <|endoftext|> cat"), (None, None), ("case-3", "")]
+    results = spark.createDataFrame(rows, "id string, prompt string").repartition(2)
+    model = fresh()
+    ids = {i: model.encode(t or "", add_special_tokens=False).ids for i, t in rows}
+    path = scratch_dir(spark, "test-tokens")
+    tokens.write_token_files(results, path, BPE)
+    got = tokens.read_token_files(spark, path, "string").orderBy("start").collect()
+    assert [(r.id, np.frombuffer(r.ids, "<u4").tolist()) for r in got] == [(i, ids[i] + [2]) for i in (None, "case-1", "case-2", "case-3")]
+    packed = packing.pack_prompts(results, BPE, room=8).collect()
+    assert {i: sum((np.frombuffer(r.ids, "<u4").tolist() for r in sorted(packed, key=lambda r: r.piece) if r.id == i), []) for i in ids} == {i: x + [0] for i, x in ids.items()}
+    assert {r.id for r in pieces.encode_phrases(results, SP, phrase="prompt").collect()} == set(ids)
+    stored = "<html>" + prose(200, 3)
+    artifacts = [("a", "0.png", stored), ("b", None, stored), (None, "x", stored), ("c", "y", "small"), ("c", "y", "small")]
+    df = spark.createDataFrame(artifacts, "id string, location string, body string").withColumns({c: F.lit(1) for c in ("row", "size", "digest", "witness", "part", "kid")})
+    where = scratch_dir(spark, "test-warc")
+    read = archive.read_archives(spark, where, archive.write_archives(df, where)).collect()
+    assert sorted([(r.id, r.record_type, r.refers_to) for r in read], key=str) == sorted(
+        [("a", "revisit", "b"), ("b", "response", None), (None, "revisit", "b"), ("c", "response", None), ("c", "response", None)], key=str)
 
 
 def test_pack_prompts(steps, empty):
@@ -344,6 +427,12 @@ def test_archives(spark):
         kind = ("revisit", 3) if body == page and i != 3 else ("response", None)
         want[(i, *kind, len(raw), hashlib.sha1(raw).hexdigest())] += 1
     assert seen == want
+    files = index.select("archive").distinct().count()
+    assert files > 1 and index.select("archive").where("archive is null").count() == 0
+    raw = [gzip.decompress(open(f, "rb").read()).decode() for f in Path(path.removeprefix("file:")).glob("*.warc.gz")]
+    names = re.findall(r"WARC-Record-ID: (<urn:uuid:[0-9a-f-]+>)", "".join(raw))
+    assert len(set(names)) == len(rows) and set(re.findall(r"WARC-Refers-To: (\S+)", "".join(raw))) <= set(names)
+    assert len(re.findall(r"WARC-Date: \d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ\r", "".join(raw))) == len(rows)
     one = archive.read_archives(spark, path, index.where("id = 4")).collect()
     assert [(r.payload.decode(), r.location) for r in one] == [("small", "")]
     none = archive.write_archives(df.limit(0), scratch_dir(spark, "test-warc"))
