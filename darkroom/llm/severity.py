@@ -7,10 +7,11 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from darkroom.llm.vocab import blocks
+from darkroom.session import cut_lineage
 
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 6)
@@ -48,21 +49,16 @@ def _telling(p1: float, p0: float, n1: int, n0: int) -> bool:
 
 
 def fit_ordinal(
-    texts: list[set[str]], grades: np.ndarray, least: int = 4, penalty: float = 1e-4, steps: int = 400, rate: float = 0.2,
+    texts: list[dict[str, int]], grades: np.ndarray, names: list[str], penalty: float = 1e-4, steps: int = 400, rate: float = 0.2,
     lean: float = 0.5,
 ) -> OrdinalModel:
     """Cumulative logits with a penalty on absolute weights, by proximal Adagrad.
 
-    Of a text's features the number of different words that have each is used. Features of fewer
-    than ``least`` texts above grade 0, and those not clearly more frequent there, are left out. Grades are 0, 1, 2, ...; those above 0 weigh ``lean`` in all.
+    A text is given by how many of its different words have each of the features ``names``. Grades are
+    0, 1, 2, ...; those above 0 weigh ``lean`` in all.
     """
-    bad, good = Counter(), Counter()
-    for g, words in zip(grades.tolist(), texts, strict=True):
-        (bad if g else good).update({f for w in words for f in features(w)})
-    n1, n0 = max(int((grades > 0).sum()), 1), max(int((grades == 0).sum()), 1)
-    names = sorted(f for f, n in bad.items() if n >= least and _telling(n / n1, good[f] / n0, n1, n0))
     number = {f: i for i, f in enumerate(names)}
-    rows = [Counter(number[f] for w in words for f in features(w) if f in number) for words in texts]
+    rows = [{number[f]: n for f, n in t.items() if f in number} for t in texts]
     col = np.fromiter((i for r in rows for i in r), np.int64)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     val = np.fromiter((np.sqrt(v) for r in rows for v in r.values()), float)
@@ -96,37 +92,76 @@ def fit_ordinal(
 
 def fit_severity(
     instructions: DataFrame, grades: DataFrame, id: str = "id", instruction: str = "instruction", grade: str = "grade",
-    rows: int = 4000,
+    rows: int = 4000, least: int = 4,
 ) -> OrdinalModel | None:
     """Fit on at most ``rows`` labelled rows of every grade, those whose ids hash smallest.
 
     ``grades`` has ids and grades, integers from 0. With only two of them, the upper one is parted
     at the median number of words that occur in the upper grade alone, so that there are a mild
-    and a severe grade. None without both a grade 0 and a higher one.
+    and a severe grade. Features of fewer than ``least`` texts above grade 0, and those not clearly more
+    frequent there, are left out. None without both a grade 0 and a higher one.
+
+    The texts are read once. Features are counted by Spark; only telling ones, and how often each
+    sampled text has them, reach the driver, however long the texts are.
     """
     named = grades.where(F.col(grade) >= 0).select(F.col(id).alias("gid"), F.col(grade).cast("int").alias("grade")).distinct()
-    levels = sorted(r["grade"] for r in named.select("grade").distinct().limit(100).collect())
-    found: list[tuple[int, set[str]]] = []
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(instruction).cast("string"), F.lit(""))), F.lit(r"\p{L}+"), F.lit(0)))
-    for g in levels:  # each sample is at most ``rows`` ids, so it may be broadcast
-        picked = named.where(F.col("grade") == g).orderBy(F.xxhash64("gid"), "gid").limit(rows)
-        texts = instructions.join(F.broadcast(picked), F.col(id) == F.col("gid"))
-        found += [(g, set(r["w"])) for r in texts.select(words.alias("w")).toLocalIterator()]
-    grades = np.array([g for g, _ in found], dtype=np.int64)
-    if not len(grades) or grades.min() > 0 or grades.max() == 0:
+    levels = [r["grade"] for r in named.select("grade").distinct().collect()]
+    if not levels or min(levels) > 0 or max(levels) == 0:
+        return None
+    order = Window.partitionBy("grade").orderBy(F.xxhash64("gid"), "gid")
+    picked = named.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= rows).select("gid", "grade")
+    # at most ``rows`` ids for each grade, so they may be broadcast
+    texts = instructions.select(F.col(id).alias("gid"), F.col(instruction).cast("string").alias("text")).join(F.broadcast(picked), "gid")
+
+    def told(batches):
+        import pyarrow as pa
+
+        for graded, found in blocks(batches, "grade", "text"):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(graded, pa.int32()), pa.array([sorted(words_of(t)) for t in found], pa.list_(pa.string()))], ["grade", "words"]
+            )
+
+    sample = cut_lineage(texts.select("grade", "text").mapInArrow(told, "grade int, words array<string>").withColumn(
+        "line", F.monotonically_increasing_id()
+    ))
+    sizes = {r["bad"]: r["n"] for r in sample.groupBy((F.col("grade") > 0).alias("bad")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    n1, n0 = sizes.get(True, 0), sizes.get(False, 0)
+    if not n1 or not n0:
         return None
-    texts = [t for _, t in found]
-    return fit_ordinal(texts, parted(texts, grades) if grades.max() == 1 else grades)
-
-
-def parted(texts: list[set[str]], grades: np.ndarray) -> np.ndarray:
-    """Grades 0, 1, 2 from flags: flagged texts of more than the median number of telling words are severe."""
-    n1, n0 = Counter(), Counter()
-    for g, t in zip(grades.tolist(), texts, strict=True):
-        (n1 if g else n0).update({f for w in t for f in features(w)})
-    marks = {f for f, n in n1.items() if n >= 4 and not n0[f]}
-    told = np.array([sum(any(f in marks for f in features(w)) for w in t) for t in texts])
-    return np.where((grades == 1) & (told > np.median(told[grades == 1])), 2, grades)
+    openings = [F.when(F.length("word") > n, F.concat(F.substring("word", 1, n), F.lit("~"))) for n in STEMS]
+    each = sample.select("line", "grade", F.explode("words").alias("word")).select(
+        "line", "grade", "word", F.explode(F.array_compact(F.array(F.col("word"), *openings))).alias("f")
+    )
+    per_text = each.groupBy("line", "grade", "f").agg(F.count(F.lit(1)).alias("n"))
+    counts = per_text.groupBy("f").agg(F.count_if(F.col("grade") > 0).alias("bad"), F.count_if(F.col("grade") == 0).alias("good")).where(
+        F.col("bad") >= least
+    )
+    seen = {r["f"]: (r["bad"], r["good"]) for r in counts.where(F.col("bad") * n0 >= F.col("good") * n1 * 4).collect()}
+    names = sorted(f for f, (bad, good) in seen.items() if _telling(bad / n1, good / n0, n1, n0))
+    marks = {f for f, (bad, good) in seen.items() if not good}
+
+    def counted(batches):
+        import pyarrow as pa
+
+        wanted = set(names)
+        for batch in batches:
+            rows_ = batch.to_pylist()
+            hits = [Counter(f for w in r["words"] for f in features(w) if f in wanted) for r in rows_]
+            marked = [sum(any(f in marks for f in features(w)) for w in r["words"]) for r in rows_]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("line"), batch.column("grade"), pa.array([list(h) for h in hits], pa.list_(pa.string())),
+                pa.array([list(h.values()) for h in hits], pa.list_(pa.int64())), pa.array(marked, pa.int64()),
+            ], ["line", "grade", "f", "n", "marked"])
+
+    found = sorted(
+        (r["grade"], sorted(zip(r["f"], r["n"], strict=True)), r["marked"])
+        for r in sample.select("line", "grade", "words").mapInArrow(counted, "line long, grade int, f array<string>, n array<long>, marked long").toLocalIterator()
+    )
+    given = np.array([g for g, _, _ in found], dtype=np.int64)
+    if given.max() == 1:  # flags: those of more than the median number of telling words are severe
+        marked = np.array([m for _, _, m in found])
+        given = np.where((given == 1) & (marked > np.median(marked[given == 1])), 2, given)
+    return fit_ordinal([dict(t) for _, t, _ in found], given, names)
 
 
 def severity(
